@@ -200,6 +200,70 @@ def distinct_by_row(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.nd
     return np.concatenate([[0], np.cumsum(np.bincount(rows[keep], minlength=n))]).astype(np.int64)[: n + 1], values[keep]
 
 
+# --- groups ------------------------------------------------------------------
+
+
+def split_groups(df: DataFrame, key: str, member: str, block: int, name: str) -> DataFrame:
+    """Rows of groups of two and more, with `group` and `side`.
+
+    A group of over `block` rows is split into blocks by the hash of `member`;
+    each block (side -1) and each pair of blocks (sides 0 and 1: pairs across
+    them alone count) is a group of its own, so that no task holds more than
+    about two blocks of it, and every pair of rows still meets once.
+    """
+    sizes = materialise(df.groupBy(key).agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1"), name)
+    dealt = df.join(sizes, key).withColumn("blocks", F.ceil(F.col("rows_of_key") / block).cast("int")).drop("rows_of_key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("other") == F.col("own"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn("group", group).withColumn("side", side).drop("blocks", "own", "other", key)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first column, `group`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        group = np.asarray(batch.column(0))
+        start = int(np.searchsorted(group, group[-1]))
+        if start or group[0] != np.asarray(held[0].column(0))[0]:
+            done = pa.Table.from_batches([*held[:-1], batch.slice(0, start)])
+            held = [batch.slice(start)]
+            if done.num_rows:
+                yield done
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_ranges(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of two and more equal neighbours."""
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]]), strict=True):
+        if b - a > 1:
+            yield int(a), int(b)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) for the components of a symmetric adjacency matrix, lonely ones left out."""
+    left = linked.any(1)
+    out = []
+    for i in np.flatnonzero(left):
+        if not left[i]:
+            continue
+        inside = np.zeros(len(linked), bool)
+        inside[i], front = True, np.array([i])
+        while len(front):
+            new = linked[front].any(0) & ~inside
+            inside |= new
+            front = np.flatnonzero(new)
+        left &= ~inside
+        out += [(int(i), int(j)) for j in np.flatnonzero(inside) if j != i]
+    return out
+
+
 # --- connected components ----------------------------------------------------
 
 

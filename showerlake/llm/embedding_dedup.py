@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import components, keyed, materialise, mix, prepare
+from showerlake.llm.common import components, forest, group_ranges, keyed, materialise, mix, prepare, split_groups, whole_groups
 from showerlake.llm.vectors import matrix, packed, unpacked, width
 
 TABLES, PER_TABLE, STEP, BLOCK = 32, 8, 1.5, 2048
@@ -49,24 +49,6 @@ class Hasher:
         return mix(key)
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """(root, member) for the components of a symmetric adjacency matrix, lonely ones left out."""
-    left = linked.any(1)
-    out = []
-    for i in np.flatnonzero(left):
-        if not left[i]:
-            continue
-        inside = np.zeros(len(linked), bool)
-        inside[i], front = True, np.array([i])
-        while len(front):
-            new = linked[front].any(0) & ~inside
-            inside |= new
-            front = np.flatnonzero(new)
-        left &= ~inside
-        out += [(i, int(j)) for j in np.flatnonzero(inside) if j != i]
-    return out
-
-
 def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id."""
     spark = df.sparkSession
@@ -98,15 +80,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(np.full(len(keys), t, np.int32)), *batch.columns], ["key", "tab", "label", "rep", "weight", "vector"])
 
     spread = folded.select("label", "rep", "weight", "vector").mapInArrow(bucket, "key long, tab int, label long, rep long, weight long, vector binary")
-    sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialise(sizes, "buckets")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = spread.join(sizes, "key").withColumn("blocks", count).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    crossed = F.when(F.col("other") == F.col("own"), F.lit(-1)).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1))
-    dealt = dealt.select(group.alias("group"), "tab", crossed.alias("side"), "label", "rep", "weight", "vector")
+    dealt = split_groups(spread, "key", "rep", BLOCK, "buckets").select("group", "tab", "side", "label", "rep", "weight", "vector")
 
     def judge(keys, label, rep, weight, side, table, vectors):
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -128,33 +102,16 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(size)
         names = ["group", "tab", "side", "label", "rep", "weight"]
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            group, tab, side, label, rep, weight = (table[n].to_numpy() for n in names)
-            vectors = unpacked(table["vector"])
-            cuts = np.flatnonzero(np.diff(group)) + 1
+        for whole in whole_groups(batches):
+            group, tab, side, label, rep, weight = (whole[n].to_numpy() for n in names)
+            vectors = unpacked(whole["vector"])
             one, two, number = [], [], []
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]]), strict=True):
-                if b - a < 2:
-                    continue
+            for a, b in group_ranges(group):
                 who, n, pairs = judge(hasher.keys, label[a:b], rep[a:b], weight[a:b], side[a:b], int(tab[a]), vectors[a:b])
                 one += [*who.tolist(), *(int(x) for x, _ in pairs)]
                 two += [None] * len(who) + [int(y) for _, y in pairs]
                 number += [*n.tolist(), *([0] * len(pairs))]
-            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(number, pa.int64())], ["a", "b", "n"])
-
-        for batch in batches:
-            held.append(batch)
-            group = np.asarray(batch.column(0))
-            start = int(np.searchsorted(group, group[-1])) if len(group) else 0
-            if len(group) and (start or group[0] != np.asarray(held[0].column(0))[0]):
-                done = pa.Table.from_batches([*held[:-1], batch.slice(0, start)])
-                held = [batch.slice(start)]
-                if done.num_rows > 1:
-                    yield work(done)
-        if held:
-            yield work(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(number, pa.int64())], ["a", "b", "n"])
 
     # a stream of whole buckets: memory is that of the largest, which is two blocks
     met = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a long, b long, n long")

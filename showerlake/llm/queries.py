@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from showerlake.llm import codec, embedding_dedup, language, licenses, neighbours, packing, tokenfiles, toxicity
+from showerlake.llm import codec, embedding_dedup, jaccard, language, licenses, neighbours, packing, tokenfiles, toxicity
 from showerlake.llm.common import shared_dir
 
 
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
