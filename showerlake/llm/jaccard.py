@@ -280,3 +280,12 @@ def components_of(df: DataFrame, *, k: int = 4, percent: int = 85, id_column: st
     found = found.select("sid", "n", "more", F.coalesce("component", "rep").alias("component"))
     out = known.select("doc_id", "n", "sid", "more").join(found, ["sid", "n", "more"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
+    """df's rows, with all columns, but of each component only that with the smallest doc_id; rows without an id stay."""
+    found = components_of(df, k=k, percent=percent)
+    kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
+    once = df.join(kept.where("copies = 1"), "doc_id", "left_semi")
+    more = df.join(kept.where("copies > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more).unionByName(df.where("doc_id is null"))

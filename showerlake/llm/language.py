@@ -137,6 +137,30 @@ def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     return Automata(words)
 
 
+def judge(texts: pa.Array, made: Automata):
+    """(first row, end row, languages, scores, phrases, letters) for slices of a text column."""
+    names = np.array([*made.names, "und"], dtype=object)
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, at = text_buffers(texts)
+    for lo, hi in row_slices(at, SLICE):
+        n = hi - lo
+        words = pc.split_pattern_regex(pc.utf8_lower(texts.slice(lo, n)).cast(pa.large_string()), r"[^\p{L}]+")
+        row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        letters = np.bincount(row, pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)[codes], minlength=n)
+        if not made.names:
+            yield lo, hi, names[np.zeros(n, int)], np.zeros(n), letters, letters
+            continue
+        phrases = made.phrases(list(coded.dictionary.to_numpy(zero_copy_only=False)))
+        total = np.stack([np.bincount(row, phrases[codes, k], minlength=n) for k in range(len(made.names))], 1)
+        least = total.min(1)
+        second = np.partition(total, 1, axis=1)[:, 1] if len(made.names) > 1 else letters
+        some = letters > 0
+        score = np.where(some, np.clip(1 - least / np.maximum(second, 1e-9), 0, 1), 0.0)
+        yield lo, hi, names[np.where(some, total.argmin(1), len(made.names))], score, least, letters
+
+
 def predict(df: DataFrame, model: Automata, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, phrases, letters): score is 1 - phrases / phrases of the second language."""
     spark = df.sparkSession
@@ -144,33 +168,28 @@ def predict(df: DataFrame, model: Automata, *, id_column: str = "doc_id", text_c
     shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_LETTERS for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value
-        names = np.array([*made.names, "und"], dtype=object)
         for batch in batches:
-            texts = batch.column(1).fill_null("") if batch.column(1).null_count else batch.column(1)
-            _, at = text_buffers(texts)
-            for lo, hi in row_slices(at, SLICE):
-                n = hi - lo
-                words = pc.split_pattern_regex(pc.utf8_lower(texts.slice(lo, n)).cast(pa.large_string()), r"[^\p{L}]+")
-                row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
-                coded = words.flatten().dictionary_encode()
-                different = coded.dictionary.to_numpy(zero_copy_only=False)
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                phrases = made.phrases(list(different))
-                total = np.stack([np.bincount(row, phrases[codes, k], minlength=n) for k in range(len(made.names))], 1) if made.names else np.zeros((n, 0))
-                letters = np.bincount(row, pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)[codes], minlength=n)
-                some = letters > 0
-                best = total.argmin(1) if made.names else np.full(n, 0)
-                least = total.min(1) if made.names else letters
-                second = np.partition(total, 1, axis=1)[:, 1] if len(made.names) > 1 else letters
-                score = np.where(some, np.clip(1 - least / np.maximum(second, 1e-9), 0, 1), 0.0) if made.names else np.zeros(n)
-                picked = np.where(some, best, len(made.names)) if made.names else np.zeros(n, int)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(names[picked]), pa.array(score), pa.array(least.astype(np.int64)), pa.array(letters.astype(np.int64))], ["doc_id", "lang_pred", "score", "phrases", "letters"])
+            for lo, hi, pred, score, least, letters in judge(batch.column(1), shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pred), pa.array(score), pa.array(least.astype(np.int64)), pa.array(letters.astype(np.int64))], ["doc_id", "lang_pred", "score", "phrases", "letters"])
 
     schema = "doc_id long, lang_pred string, score double, phrases long, letters long"
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def keep(df: DataFrame, model: Automata) -> DataFrame:
+    """The rows of df, with all their columns, whose text has a language; `und` goes."""
+    prepare(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, pred, *_ in judge(batch.column(at), shared.value):
+                yield batch.slice(lo, hi - lo).filter(pa.array(pred != "und"))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame) -> DataFrame:
     """Operator 8's result for documents: learned where crc32(doc_id) mod 3 is not 1, predicted for all."""
     model = learn(df.where(mod_crc("doc_id", 3) != 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from showerlake.llm import codec, embedding_dedup, jaccard, language, licenses, neighbours, packing, tokenfiles, toxicity
+from showerlake.llm import codec, embedding_dedup, jaccard, language, licenses, lm, neighbours, packing, tokenfiles, toxicity
 from showerlake.llm.common import shared_dir
 
 
@@ -30,6 +30,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), ~lm.held_out())
+    return found.withColumn("held_out", lm.held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
