@@ -23,8 +23,15 @@ SLICE_BYTES = 2_000_000
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't name them.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed."""
+    """Lets Python workers import this package where it isn't installed, and keeps their batches small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

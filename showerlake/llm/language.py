@@ -30,7 +30,7 @@ from showerlake.llm.common import mod_crc, prepare, row_slices, text_buffers
 #: Bounds of what is learned from: documents per language, out of SPREAD times as many in all, and letters of the words kept.
 SAMPLE_DOCS, SPREAD, SAMPLE_LETTERS = 400, 50, 30_000
 #: Bytes of text whose different words are parsed at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

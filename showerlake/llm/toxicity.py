@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import materialise, mod_crc, prepare
+from showerlake.llm.common import materialise, mod_crc, prepare, row_slices, text_buffers
 
 #: Bound of the labelled rows that are learned from.
 SAMPLE = 16_000
@@ -154,8 +154,11 @@ class Model:
         return total, clauses, marks
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return pc.utf8_lower(pc.fill_null(column, "")).to_pylist()
+def _texts(column: pa.Array) -> Iterator[str]:
+    """Lower-cased texts, a slice at a time; null is empty."""
+    _, at = text_buffers(column)
+    for lo, hi in row_slices(at):
+        yield from pc.utf8_lower(pc.fill_null(column.slice(lo, hi - lo), "")).to_pylist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
