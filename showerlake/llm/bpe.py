@@ -224,6 +224,7 @@ class ByteTable:
         """Character span of each id in text; ids inside a character share that character."""
         raw = np.frombuffer(text.encode(), np.uint8)
         begins = np.cumsum((raw & 0xC0) != 0x80)  # characters begun up to and with a byte
-        ends = np.cumsum(self.size[np.asarray(ids, np.int64)]) if ids else np.empty(0, np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sizes = self.size[np.asarray(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         return [(int(begins[s] - 1), int(begins[e - 1])) if e > s else (0, 0) for s, e in zip(starts, ends, strict=True)]

@@ -148,7 +148,7 @@ def shared_keys(docs: DataFrame, k: int, alloc: Allocation, parts: int) -> DataF
                 order = np.argsort(pile, kind="stable")
                 key, who, pile = key[order].astype("<u8"), who[order].astype("<i8"), pile[order]
                 used, first = np.unique(pile, return_index=True)
-                ends = [*first[1:].tolist(), len(pile)]
+                ends = [*first[1:].tolist(), len(pile)][: len(first)]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([key[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([who[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["pile", "keys", "sids"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
