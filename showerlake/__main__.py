@@ -1,12 +1,18 @@
-"""Command line: `python -m showerlake` reads showers, compresses, validates and writes them."""
+"""Command line: `python -m showerlake` reads showers, compresses, validates and writes them.
+
+`python -m showerlake compare` writes the tables that compare written showers
+with one another or, where there is one input alone, with its compressed form.
+"""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from showerlake.operators.cluster import SCOPES, ClusterWithinCell, HDBSCANClustering, ward_clusterer
+from showerlake.operators.compare import Comparison, checked, series
 from showerlake.operators.merge import Identity, MergeWithinCell, MergeWithinRegularSubcell, Result, stats, summary, summary_text
 from showerlake.operators.validate import CellCountRatio, EnergyConservation, ShowerMoments, long_form
 from showerlake.sources.compact import Compact, read_barrel
@@ -18,6 +24,19 @@ ALGORITHMS = ("identity", "merge_within_cell", "merge_within_regular_subcell", "
 def options(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="showerlake", description=__doc__)
     p.add_argument("--input", required=True, help="file or folder; its suffix names the format")
+    return common(p).parse_args(argv)
+
+
+def compare_options(argv: list[str]) -> argparse.Namespace:
+    p = argparse.ArgumentParser(prog="showerlake compare", description=__doc__)
+    p.add_argument("--input", required=True, nargs="+", help="the reference, then what is compared with it")
+    p.add_argument("--label", nargs="+", help="names of the inputs, required for three and more")
+    p.add_argument("--axis", nargs=3, type=float, help="axis of all showers instead of each one's own")
+    p.add_argument("--origin", nargs=3, type=float)
+    return common(p).parse_args(argv)
+
+
+def common(p: argparse.ArgumentParser) -> argparse.ArgumentParser:
     p.add_argument("--output", required=True, help="folder that the results are written to")
     p.add_argument("--algorithm", choices=ALGORITHMS, default="identity")
     p.add_argument("--shower-limit", type=int)
@@ -36,7 +55,7 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--hdbscan-cell-id-encoding")
     p.add_argument("--debug-events", nargs="+", type=int, help="0-based showers whose labelled deposits are written too")
     p.add_argument("--debug-output")
-    return p.parse_args(argv)
+    return p
 
 
 def algorithm(spark: SparkSession, o: argparse.Namespace):
@@ -69,8 +88,29 @@ def written(steps: DataFrame, result: Result, o: argparse.Namespace) -> DataFram
     return steps.sparkSession.read.parquet(f"{path}/steps.parquet")
 
 
+def compare(argv: list[str], spark: SparkSession | None = None) -> str:
+    """Writes the tables of Comparison, with a column `series` that names what is compared."""
+    o = compare_options(argv)
+    labels = o.label or (["reference", "compared"][: len(o.input)] if len(o.input) < 3 else [])
+    if len(labels) != len(o.input) or len(set(labels)) < len(labels):
+        raise ValueError("each input needs a --label of its own")
+    spark = spark or SparkSession.builder.appName("showerlake").getOrCreate()
+    inputs = [read_steps(spark, path, shower_limit=o.shower_limit) for path in o.input]
+    if len(inputs) == 1:
+        inputs, labels = [inputs[0], algorithm(spark, o).compress(inputs[0]).points], [*labels, o.algorithm]
+    frame = {"axis": tuple(o.axis) if o.axis else None, "origin": tuple(o.origin) if o.origin else None}
+    made = {name: Comparison(inputs[0], checked(inputs[0], own), **frame) for name, own in zip(labels[1:], inputs[1:], strict=True)}
+    names = list(next(iter(made.values())).tables())
+    for name in names:
+        series(made, name).write.mode("overwrite").parquet(f"{o.output}/{name}.parquet")
+    return "".join(f"{o.output}/{name}.parquet\n" for name in names)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
-    """Runs the command and returns the summary that it prints."""
+    """Runs the command and returns what it prints: the summary, or the tables written."""
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["compare"]:
+        return compare(argv[1:], spark)
     o = options(argv)
     spark = spark or SparkSession.builder.appName("showerlake").getOrCreate()
     steps = read_steps(spark, o.input, shower_limit=o.shower_limit)

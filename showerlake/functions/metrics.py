@@ -52,6 +52,19 @@ def transverse_basis(ax, ay, az):
     return e1, e2
 
 
+def in_frame(placed: DataFrame) -> DataFrame:
+    """Adds long, radial and phi to deposits that carry a centre (cx, cy, cz) and an axis (ax, ay, az)."""
+    a = [F.col(k) for k in ("ax", "ay", "az")]
+    rel = [F.col(c).cast("double") - F.col(f"c{c}") for c in "xyz"]
+    along = sum(r * k for r, k in zip(rel, a, strict=True))
+    placed = placed.withColumn("long", along)
+    across = [r - F.col("long") * k for r, k in zip(rel, a, strict=True)]
+    e1, e2 = transverse_basis(*a)
+    dot = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True))
+    placed = placed.withColumns({"radial": F.sqrt(dot(across, across)), "phi": F.atan2(dot(across, e2), dot(across, e1))})
+    return placed
+
+
 def shower_coordinates(steps: DataFrame, axes: DataFrame | tuple, *, origin: str = "centroid", shift_to_min: bool = False) -> DataFrame:
     """Adds long, radial and phi to deposits.
 
@@ -65,14 +78,7 @@ def shower_coordinates(steps: DataFrame, axes: DataFrame | tuple, *, origin: str
         placed = placed.join(axes.select("shower_id", "ax", "ay", "az"), "shower_id")
     else:
         placed = placed.withColumns({k: F.lit(v) for k, v in zip(("ax", "ay", "az"), normalized(axes), strict=True)})
-    a = [F.col(k) for k in ("ax", "ay", "az")]
-    rel = [F.col(c).cast("double") - F.col(f"c{c}") for c in "xyz"]
-    along = sum(r * k for r, k in zip(rel, a, strict=True))
-    placed = placed.withColumn("long", along)
-    across = [r - F.col("long") * k for r, k in zip(rel, a, strict=True)]
-    e1, e2 = transverse_basis(*a)
-    dot = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True))
-    placed = placed.withColumns({"radial": F.sqrt(dot(across, across)), "phi": F.atan2(dot(across, e2), dot(across, e1))})
+    placed = in_frame(placed)
     each = Window.partitionBy("shower_id")
     if origin == "first_deposit":
         placed = placed.withColumn("long", F.col("long") - F.min_by("long", "point_index").over(each))

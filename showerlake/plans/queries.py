@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from showerlake.functions import metrics
 from showerlake.functions.cellid import field
-from showerlake.operators import merge, select, validate
+from showerlake.operators import display, merge, select, validate
 from showerlake.operators.cluster import ClusterWithinCell, HDBSCANClustering, merge_labelled, neighbour_components, ward_clusterer
+from showerlake.operators.compare import Comparison, observables_histogram
 from showerlake.sources.steps import ENCODING, last_primary, limit_showers, pick_showers, primaries_from_supplier, steps_from_lineitem
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +356,61 @@ def validation_long_form(spark, sf_dir):
     return rounded(report.validation.where(F.col("metric").isin("energy_before", "energy_after")), 2, "value")
 
 
+# deposits and their merged points, placed from (0, 1250, 0) along x
+SIDES = f"""sides AS (SELECT 'before' AS side, shower_id, cell_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(e AS DOUBLE) AS e FROM steps
+ UNION ALL SELECT 'after', shower_id, cell_id, x, y, z, e FROM (SELECT shower_id, cell_id, {MERGED} FROM cells)),
+ placed AS (SELECT side, shower_id, cell_id, e, x AS long, sqrt((y-1250)*(y-1250) + z*z) AS radial, atan2(z, y-1250) AS phi FROM sides)"""
+
+
+def _comparison(spark, sf_dir) -> Comparison:
+    s = steps_from_lineitem(spark, sf_dir)
+    return Comparison(s, _exact(s, ["cell_id"]), axis=X_AXIS, origin=(0.0, 1250.0, 0.0))
+
+
+@query(f"WITH {STEPS}, {CELLS}, {SIDES}, a AS (SELECT shower_id, side, sum(e) AS e, count(*) AS n, count(DISTINCT cell_id) AS c FROM sides GROUP BY 1, 2) SELECT a.shower_id, {r('b.e/a.e', 6, 'energy_ratio')}, {r('CAST(b.n AS DOUBLE)/a.n', 6, 'point_ratio')}, {r('CAST(b.c AS DOUBLE)/a.c', 6, 'cell_ratio')} FROM a JOIN a b ON a.shower_id = b.shower_id AND a.side = 'before' AND b.side = 'after'")
+def compare_ratios(spark, sf_dir):
+    return rounded(_comparison(spark, sf_dir).ratios(), 6, "energy_ratio", "point_ratio", "cell_ratio")
+
+
+@query(f"WITH {STEPS}, {CELLS}, {SIDES} SELECT shower_id, side, {r('sum(long*e)/sum(e)', 3, 'long_m1')}, {r('sum(long*long*e)/sum(e)', 1, 'long_m2')}, {r('sum(radial*e)/sum(e)', 3, 'radial_m1')}, {r('sum(radial*radial*e)/sum(e)', 1, 'radial_m2')} FROM placed GROUP BY 1, 2")
+def compare_moments(spark, sf_dir):
+    return rounded(rounded(_comparison(spark, sf_dir).moments(), 3, "long_m1", "radial_m1"), 1, "long_m2", "radial_m2")
+
+
+_BINNED = ", ".join(f"('{v}', {lo}, {hi}, CAST({v} AS DOUBLE))" for v, lo, hi in (("long", "-200.0", "200.0"), ("radial", "0.0", "200.0"), ("phi", "-pi()", "pi()")))
+
+
+@query(f"WITH {STEPS}, {CELLS}, {SIDES}, v AS (SELECT side, shower_id, e, u.variable, CASE WHEN u.value >= u.lo AND u.value <= u.hi THEN least(CAST(floor((u.value - u.lo)/((u.hi - u.lo)/40)) AS INT), 39) END AS bin FROM placed, LATERAL (VALUES {_BINNED}) u(variable, lo, hi, value)), total AS (SELECT side, shower_id, variable, sum(e) AS total FROM v GROUP BY ALL), h AS (SELECT side, shower_id, variable, bin, sum(e) AS s FROM v GROUP BY ALL), p AS (SELECT t.side, t.shower_id, t.variable, CAST(i AS INT) AS bin, coalesce(h.s, 0)/t.total AS fraction FROM (SELECT *, unnest(range(0, 40)) AS i FROM total) t LEFT JOIN h ON h.side = t.side AND h.shower_id = t.shower_id AND h.variable = t.variable AND h.bin = t.i) SELECT side, variable, bin, {r('avg(fraction)', 5, 'fraction')} FROM p GROUP BY 1, 2, 3")
+def compare_mean_profiles(spark, sf_dir):
+    return rounded(_comparison(spark, sf_dir).mean_profiles(), 5, "fraction")
+
+
+@query(f"WITH {STEPS}, {CELLS}, {SIDES}, v AS (SELECT 'point' AS kind, side, log10(greatest(e, 1e-12)) AS v FROM sides UNION ALL SELECT 'cell', side, log10(greatest(e, 1e-12)) FROM (SELECT side, shower_id, cell_id, sum(e) AS e FROM sides GROUP BY ALL)) SELECT kind, side, {r('min(v)', 6, 'lo')}, {r('max(v)', 6, 'hi')}, count(*) AS n FROM v GROUP BY ALL")
+def compare_spectra(spark, sf_dir):
+    found = _comparison(spark, sf_dir).spectra().groupBy("kind", "side").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return rounded(found, 6, "lo", "hi")
+
+
+@query(f"WITH {STEPS}, c AS (SELECT shower_id, CAST(e AS DOUBLE) AS w, CAST(x AS DOUBLE) AS long, sqrt((CAST(y AS DOUBLE)-1250)*(CAST(y AS DOUBLE)-1250) + CAST(z AS DOUBLE)*z) AS radial FROM steps), l AS (SELECT greatest(quantile_cont(long, 0.99)*1.05, 1) AS hi, max(radial) AS rhi FROM c), b AS (SELECT shower_id, 'long' AS variable, w, least(CAST(floor(long/(hi/15)) AS INT), 14) AS bin FROM c, l WHERE long BETWEEN 0 AND hi UNION ALL SELECT shower_id, 'radial', w, least(CAST(floor(radial/(rhi/50)) AS INT), 49) FROM c, l WHERE radial BETWEEN 0 AND rhi) SELECT shower_id, variable, bin, {r('sum(w)', 2, 'weight')} FROM b GROUP BY ALL")
+def observables_matrix(spark, sf_dir):
+    from showerlake.functions.metrics import in_frame
+
+    frame = {"cx": 0.0, "cy": 1250.0, "cz": 0.0, "ax": 1.0, "ay": 0.0, "az": 0.0}
+    placed = in_frame(steps_from_lineitem(spark, sf_dir).withColumns({k: F.lit(v) for k, v in frame.items()}))
+    return rounded(observables_histogram(placed).where(F.col("variable").isin("long", "radial")), 2, "weight")
+
+
+@query(r"SELECT CAST(s_suppkey AS INT) AS shower_id, CAST(CAST(round(abs(CAST(s_acctbal AS FLOAT))) AS BIGINT) AS VARCHAR) || ' GeV $\gamma$' AS label FROM supplier")
+def incident_labels(spark, sf_dir):
+    p = primaries_from_supplier(spark, sf_dir)
+    return p.select("shower_id", display.incident_label(F.col("pdg"), F.col("momentum")).alias("label"))
+
+
+@query(f"WITH {STEPS} SELECT shower_id, point_index, {r('sqrt(CAST(e AS DOUBLE)/max(CAST(e AS DOUBLE)) OVER (PARTITION BY shower_id))', 6, 'size')} FROM steps")
+def marker_sizes(spark, sf_dir):
+    return rounded(display.marker_size(steps_from_lineitem(spark, sf_dir)).select("shower_id", "point_index", "size"), 6, "size")
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, user_id AS shower_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'logout' THEN 5 ELSE 0 END AS cell_id, count(*) AS n, round(sum(abs(value)), 3) AS e FROM events GROUP BY 1, 2, 3")
 def stream_merge_batch(spark, sf_dir):
     """The streaming aggregate, run on the whole table as a batch."""

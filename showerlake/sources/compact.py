@@ -165,13 +165,36 @@ class Barrel:
         a quarter turn on. A layer is as wide as the polygon is at its start.
         """
         rows = []
+        for m, x, y in self._directions():
+            for k, own in enumerate(self.layers, 1):
+                radius = self.rmin + own.start + own.sensitive_center
+                rows.append((m, k, radius * x, radius * y, -y, x, self.pitch_t, self.pitch_z, radius, self._half_width(own), self.length / 2, own.sensitive_thickness / 2))
+        return spark.createDataFrame(rows, PLANES)
+
+    def boxes(self, spark: SparkSession) -> DataFrame:
+        """As planes(), for the whole thickness of each layer instead of its sensitive slice."""
+        rows = []
+        for m, x, y in self._directions():
+            for k, own in enumerate(self.layers, 1):
+                radius = self.rmin + own.start + own.thickness / 2
+                rows.append((m, k, radius * x, radius * y, -y, x, self.pitch_t, self.pitch_z, radius, self._half_width(own), self.length / 2, own.thickness / 2))
+        return spark.createDataFrame(rows, PLANES)
+
+    def envelopes(self, spark: SparkSession) -> DataFrame:
+        """A row for each module (layer 0): all its layers, half_t wide at the inner face and half_t_outer at the outer."""
+        radius, slope, rows = self.rmin + self.thickness / 2, math.tan(math.pi / self.sides), []
+        for m, x, y in self._directions():
+            rows.append((m, 0, radius * x, radius * y, -y, x, self.pitch_t, self.pitch_z, radius, self.rmin * slope, self.length / 2, self.thickness / 2, (self.rmin + self.thickness) * slope))
+        return spark.createDataFrame(rows, PLANES + ", half_t_outer double")
+
+    def _directions(self):
+        """Each module's number and the direction it faces."""
         for m in range(1, self.sides + 1):
             a = (2 - m) * 2 * math.pi / self.sides - math.pi / 2
-            for k, x in enumerate(self.layers, 1):
-                radius = self.rmin + x.start + x.sensitive_center
-                half_t = (self.rmin + x.start) * math.tan(math.pi / self.sides) - 2 * self.gap
-                rows.append((m, k, radius * math.cos(a), radius * math.sin(a), -math.sin(a), math.cos(a), self.pitch_t, self.pitch_z, radius, half_t, self.length / 2, x.sensitive_thickness / 2))
-        return spark.createDataFrame(rows, PLANES)
+            yield m, math.cos(a), math.sin(a)
+
+    def _half_width(self, layer: Layer) -> float:
+        return (self.rmin + layer.start) * math.tan(math.pi / self.sides) - 2 * self.gap
 
     def report(self, layers: int = 5) -> str:
         """Sizes and the first layers, as text."""

@@ -30,3 +30,48 @@ def test_other_commands(spark, source, tmp_path, compact):  # noqa: F811
     assert "points_before=24\n" in main([*common, "--algorithm", "cluster_within_cell_agglomerative"], spark)
     with pytest.raises(ValueError):
         main([*common, "--algorithm", "merge_within_regular_subcell"], spark)
+
+
+def test_compare_command(spark, source, tmp_path):
+    out = str(tmp_path / "tables")
+    frame = ["--axis", "1", "0", "0", "--origin", "0", "1245", "0"]
+    text = main(["compare", "--input", source, "--algorithm", "merge_within_cell", "--output", out, *frame], spark)
+    assert len(text.splitlines()) == 5
+    rows = {r.shower_id: r for r in spark.read.parquet(f"{out}/ratios.parquet").collect()}
+    assert rows[3].series == "merge_within_cell" and rows[3].point_ratio == pytest.approx(2 / 12) and rows[8].energy_ratio == pytest.approx(1)
+    for r in spark.read.parquet(f"{out}/profiles.parquet").groupBy("shower_id", "side", "variable").agg({"fraction": "sum", "*": "count"}).collect():
+        assert r["sum(fraction)"] == pytest.approx(1) and r["count(1)"] == 40
+    main(["compare", "--input", source, source, source, "--label", "a", "b", "c", "--output", out, *frame], spark)
+    moments = spark.read.parquet(f"{out}/moments.parquet").collect()
+    assert {r.series for r in moments} == {"b", "c"} and len({r.long_m1 for r in moments if r.shower_id == 3}) == 1
+    for wrong in (["--input", source, source, source], ["--input", source, source, "--label", "a", "a"]):
+        with pytest.raises(ValueError):
+            main(["compare", *wrong, "--output", out], spark)
+
+
+def test_comparison_needs_partners(spark, source):
+    from showerlake.operators.compare import Comparison, checked
+
+    steps = spark.read.parquet(source)
+    with pytest.raises(Exception, match="without a partner"):
+        checked(steps, steps.where("shower_id = 3")).collect()
+    own = Comparison(steps, steps).moments().collect()
+    assert len(own) == 4 and len({round(r.radial_m2, 9) for r in own if r.shower_id == 8}) == 1
+    assert Comparison(steps.where("false"), steps.where("false"), axis=(1, 0, 0)).profiles().count() == 0
+    with pytest.raises(ValueError):
+        Comparison(steps, steps, origin=(1.0, 2.0))
+
+
+def test_display(spark):
+    from pyspark.sql import functions as F
+
+    from showerlake.operators.display import display_axes, incident_label, incident_lines
+
+    kinds = spark.createDataFrame([(11, [3.0, 4.0, 0.0]), (99, None), (None, None), (22, [1.0])], "pdg int, momentum array<float>")
+    assert [r[0] for r in kinds.select(incident_label(F.col("pdg"), F.col("momentum"))).collect()] == ["5 GeV e-", "PDG 99", "incident particle", r"$\gamma$"]
+    steps = spark.createDataFrame([(1, i, float(i), 0.0, 0.0, 1.0) for i in range(5)], "shower_id int, point_index long, x float, y float, z float, e float")
+    primary = spark.createDataFrame([(1, [2.0, 0.0, 0.0], [1.0, 0.0, 0.0])], "shower_id int, momentum array<float>, vertex array<float>")
+    axes = display_axes(steps, primary)
+    assert (axes.first().ax, axes.first().cx) == (1.0, 1.0)
+    line = incident_lines(steps, axes).first()
+    assert (line.x0, line.x1, line.y0) == (-100.0, -10.0, 0.0)

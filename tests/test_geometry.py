@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from showerlake.operators.layout import bounds, cell_center, cells, crossing, outlines
+from showerlake.operators.layout import bounds, cell_center, cell_polygons, cells, crossing, grid_lines, layers_in_view, outlines, overlapping
 from showerlake.operators.merge import MergeWithinRegularSubcell
 from showerlake.sources.compact import Compact, evaluate, read_barrel
 
@@ -87,3 +87,39 @@ def test_subcells_of_a_read_barrel(spark, compact):
     for mode in ("weighted", "center"):
         points = MergeWithinRegularSubcell(geometry=barrel.planes(spark), encoding=barrel.encoding, position=mode).compress(steps).points.collect()
         assert len(points) == 4 and sum(p.e for p in points) == 10.0
+
+
+def test_boxes_and_envelopes(spark, compact):
+    barrel = read_barrel(compact, "Hits")
+    box = barrel.boxes(spark).where("module = 1 and layer = 3").first()
+    assert (box.radius, box.half_thickness) == (1240 + 12 + 3, 3.0)
+    module = barrel.envelopes(spark).where("module = 1")
+    ends = outlines(module).collect()
+    assert len(ends) == 12 and barrel.envelopes(spark).count() == 8
+    flat = [math.dist((r.x0, r.y0), (r.x1, r.y1)) for r in ends if r.z0 == r.z1]
+    slope = 2 * math.tan(math.pi / 8)
+    side = math.hypot(18.0, 9 * slope)
+    assert sorted(flat) == pytest.approx(sorted([1240 * slope] * 2 + [1258 * slope] * 2 + [side] * 4))
+
+
+def test_views(spark, compact):
+    planes = read_barrel(compact, "Hits").planes(spark).where("module = 2 and layer = 1")
+    plane = planes.first()
+
+    def area(corners):
+        turned = corners[1:] + corners[:1]
+        return abs(sum(a.u * b.v - a.v * b.u for a, b in zip(corners, turned))) / 2
+
+    total = lambda view: sum(area(r.corners) for r in cell_polygons(planes, view).collect())
+    assert total("xy") == pytest.approx(2 * plane.half_t * 2 * plane.half_thickness)
+    height = 2 * (abs(plane.tan_y) * plane.half_t + abs(plane.tan_x) * plane.half_thickness)
+    assert total("zy") == pytest.approx(2 * plane.half_z * height)
+    assert cell_polygons(planes, "xz").count() == cells(planes).count()
+    lines = grid_lines(planes, "zy").collect()
+    assert sorted(r.corners[0].u for r in lines) == [-200.0, -100.0, 0.0, 100.0, 200.0]
+    assert all(math.dist(r.corners[0], r.corners[1]) == pytest.approx(2 * plane.half_thickness) for r in grid_lines(planes, "xy").collect())
+    strips = cell_polygons(planes, "zy")
+    assert overlapping(strips, u=(150, None)).count() == 1 and overlapping(strips, u=(200, None)).count() == 0
+    assert layers_in_view(strips, u=(None, 0)).collect() == [(2, 1)]
+    with pytest.raises(ValueError):
+        cell_polygons(planes, "yx")
