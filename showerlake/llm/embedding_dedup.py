@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showerlake.llm.common import components, forest, group_ranges, keyed, materialise, mix, prepare, split_groups, whole_groups
-from showerlake.llm.vectors import matrix, packed, unpacked, width
+from showerlake.llm.vectors import matrix, packed, precision, unpacked, width
 
 TABLES, PER_TABLE, STEP, BLOCK = 32, 8, 1.5, 2048
 
@@ -54,13 +54,13 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).alias("embedding")).where("vec_id is not null")
-    size = width(rows, "embedding")
+    size, kind = width(rows, "embedding"), precision(rows, "embedding")
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, vectors = matrix(batch.column(2), size)
             vectors = vectors + 0.0  # no negative zeros
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]] + [packed(vectors)], ["vec_id", "label", "vector"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]] + [packed(vectors, kind)], ["vec_id", "label", "vector"])
 
     good = rows.where("label is not null").mapInArrow(usable, "vec_id long, label long, vector binary")
     classed = good.select("vec_id", "label", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
@@ -71,7 +71,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(size)
         for batch in batches:
-            vectors = unpacked(batch.column(3))
+            vectors = unpacked(batch.column(3), kind)
             if not len(vectors):
                 continue
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -104,7 +104,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
         names = ["group", "tab", "side", "label", "rep", "weight"]
         for whole in whole_groups(batches):
             group, tab, side, label, rep, weight = (whole[n].to_numpy() for n in names)
-            vectors = unpacked(whole["vector"])
+            vectors = unpacked(whole["vector"], kind)
             one, two, number = [], [], []
             for a, b in group_ranges(group):
                 who, n, pairs = judge(hasher.keys, label[a:b], rep[a:b], weight[a:b], side[a:b], int(tab[a]), vectors[a:b])

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def width(df: DataFrame, column: str) -> int:
@@ -38,20 +39,27 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return usable, rows[good]
 
 
-def packed(rows: np.ndarray) -> pa.Array:
-    """Rows of doubles as a binary column."""
-    raw = np.ascontiguousarray(rows, "<f8")
-    width = raw.shape[1] * 8 if raw.ndim == 2 else 0
+def precision(df: DataFrame, column: str) -> str:
+    """The number type that holds the column's components exactly: single precision where the table has no more."""
+    kind = df.schema[column].dataType
+    return "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"
+
+
+def packed(rows: np.ndarray, kind: str = "<f8") -> pa.Array:
+    """Rows of numbers as a binary column."""
+    raw = np.ascontiguousarray(rows, kind)
+    width = raw.shape[1] * raw.itemsize if raw.ndim == 2 else 0
     at = np.arange(len(raw) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    n = len(column)
+def unpacked(column: pa.Array, kind: str = "<f8") -> np.ndarray:
+    """Rows of doubles from a binary column."""
+    n, size = len(column), np.dtype(kind).itemsize
     if not n:
         return np.zeros((0, 0))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + n + 1]
-    return np.frombuffer(data, "<f8")[at[0] // 8 : at[-1] // 8].reshape(n, -1)
+    return np.frombuffer(data, kind)[at[0] // size : at[-1] // size].reshape(n, -1).astype(float, copy=False)
