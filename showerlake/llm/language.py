@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from showerlake.llm.common import mod_crc, prepare, row_slices, text_buffers
 
-#: Bounds of what is learned from: documents per language, out of SPREAD times as many in all, and letters of the words kept.
-SAMPLE_DOCS, SPREAD, SAMPLE_LETTERS = 400, 50, 30_000
+#: Bounds of what is learned from, for each language: documents, and letters of the words kept.
+SAMPLE_DOCS, SAMPLE_LETTERS = 400, 30_000
+#: Low bits of a 32-bit hash that are dropped for the counts by which a language's sample is found.
+BUCKET_BITS = 18
 #: Bytes of text whose different words are parsed at once.
 SLICE = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -116,13 +118,17 @@ class Automata:
 
 def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs: int = SAMPLE_DOCS, letters: int = SAMPLE_LETTERS) -> Automata:
     """Learns from at most `docs` texts of each language, of the smallest crc32 of their id, and the commonest words of these."""
-    rows = df.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
+    rows = df.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
     rows = rows.select(F.col(lang_column).cast("string").alias("lang"), F.col(id_column).cast("long").alias("doc_id"), F.crc32(F.concat(F.lit("language "), F.col(id_column).cast("string")).cast("binary")).alias("at"), F.col(text_column).alias("text"))
-    # the ids first, without their texts
-    first = rows.select("lang", "doc_id", "at").orderBy("at", "doc_id").limit(SPREAD * docs)
-    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("n") <= docs).select("doc_id").distinct()
+    # the ids first, without their texts: those of each language up to the bucket of hashes that fills its sample
+    ids = rows.select("lang", "doc_id", "at", F.shiftrightunsigned("at", BUCKET_BITS).alias("bucket"))
+    counts = ids.groupBy("lang", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")) - F.col("n")
+    cuts = counts.withColumn("before", before).where(F.col("before") < docs).groupBy("lang").agg(F.max("bucket").alias("last"))
+    first = ids.join(F.broadcast(cuts), "lang").where(F.col("bucket") <= F.col("last"))
+    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("n") <= docs).select("lang", "doc_id").distinct()
     found: dict[str, dict[str, int]] = {}
-    for r in rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").toLocalIterator():
+    for r in rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text").toLocalIterator():
         own = found.setdefault(r.lang, {})
         for w in _WORD.findall(r.text.lower()):
             own[w] = own.get(w, 0) + 1

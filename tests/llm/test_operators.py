@@ -158,6 +158,17 @@ def test_language(spark, none):
     assert language.identify(none).count() == 0
 
 
+def test_language_sample_is_bounded_for_each_language(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnop"), 12)), "fi" if i in (7, 311, 312, 650, 907) else "sv" if i == 500 else "en") for i in range(1000)]
+    made = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=3)
+    assert made.names == ["en", "fi", "sv"]
+    whole = made.phrases([t for _, t, _ in rows]) == 1
+    for k, lang in enumerate(made.names):
+        own = sorted((zlib.crc32(f"language {i}".encode()), i) for i, _, name in rows if name == lang)
+        assert np.flatnonzero(whole[:, k]).tolist() == sorted(i for _, i in own[:3])
+
+
 def test_cross_parsing_takes_longest_matches():
     made = language.Automata({"a": ["abcab"], "b": ["xyz"]})
     inside = "\x02abcab\x03"
