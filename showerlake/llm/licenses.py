@@ -1,10 +1,15 @@
 """Operator 4: license notices in texts.
 
+Words are runs of letters and digits: punctuation, quotes and comment marks part
+them and are left out, in templates and texts alike, so that wrapped and commented
+notices count as plain ones. word_start still counts words parted by white space.
+
 Each template's word shingles are MinHashed into bands; so is every window of a
 text; windows overlap by two thirds and are one and a half to 2.2 times as long as
 the templates they are for. A window that shares a band with a template retrieves it; then the share of the
 template's shingles that the window holds is counted exactly, and MATCH or more
-is a match. With BANDS bands of one row each, a window that holds a template
+is a match; those of a notice (up to NOTICE words) that hold a number, so that tell
+the version, must all be there. With BANDS bands of one row each, a window that holds a template
 whole (so has a Jaccard similarity of over 0.45 with it) is retrieved with
 probability 1 - 0.55**BANDS at least, over 0.99999.
 
@@ -22,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import Words, keyed, prepare, shingles, words_of
+from showerlake.llm.common import Words, keyed, prepare, row_slices, shingles, text_buffers
 
-BANDS, MATCH, SHINGLE = 20, 0.8, 5
+BANDS, MATCH, SHINGLE, NOTICE = 20, 0.8, 3, 80
 #: Fixed texts: short notices by which licenses are commonly declared.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
@@ -37,18 +42,40 @@ TEMPLATES = {
 }
 
 
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+
+
+def plain(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with spaces for ASCII, Latin-1 and general (U+2000 to U+207F) punctuation; lengths stay."""
+    out = _PLAIN[raw]
+    two = np.flatnonzero(raw[:-1] == 0xC2)
+    out[two] = out[two + 1] = 0x20
+    three = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81)))
+    out[three] = out[three + 1] = out[three + 2] = 0x20
+    return out
+
+
+def white_word(text: bytes, at: int) -> int:
+    """Number of the white-space word of a text in which the byte `at` lies."""
+    before = text[:at]
+    return len(before.split()) - (not before[-1:].isspace() and at > 0)
+
+
 class Templates:
     """Shingles and bands of the templates, by length class."""
 
     def __init__(self, texts: dict[str, list[str]] | None = None):
         flat = [(name, k, t) for name, group in (TEMPLATES if texts is None else texts).items() for k, t in enumerate(group)]
         self.names, self.parts = [n for n, _, _ in flat], [k for _, k, _ in flat]
-        self.sets, self.lengths = [], []
+        self.sets, self.needed = [], []
         for _, _, t in flat:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            words = Words(raw, np.array([0, len(raw)]))
-            self.sets.append(np.unique(shingles(words, SHINGLE)[1]))
-            self.lengths.append(len(words.h))
+            raw = plain(np.frombuffer(t.encode(), np.uint8))
+            value = shingles(Words(raw, np.array([0, len(raw)])), SHINGLE)[1]
+            words = bytes(raw).split()
+            number = [any(c in b"0123456789" for w in words[i : i + SHINGLE] for c in w) for i in range(len(value))]
+            self.sets.append(np.unique(value))
+            self.needed.append(value[number if len(words) <= NOTICE else []].astype(np.uint64))
         self.bands: dict[tuple[int, int], list[int]] = {}  # (band, MinHash) -> templates
         self.near = np.zeros((BANDS, 1 << 16), dtype=bool)  # by the MinHash's last 16 bits
         for i, s in enumerate(self.sets):
@@ -87,9 +114,11 @@ class Templates:
                     hits.update((int(i), t) for t in self.bands.get((b, int(least[i])), ()))
         for owner, lo, hi, _, hits in layout:
             for i, t in hits:
+                if hi[i] - lo[i] < MATCH * len(self.sets[t]):
+                    continue
                 inside = value[lo[i] : hi[i]]
                 share = float(np.isin(self.sets[t], inside).mean())
-                if share >= MATCH:
+                if share >= MATCH and np.isin(self.needed[t], inside).all():
                     r = int(owner[i])
                     first = int(lo[i] - at[r] + np.flatnonzero(np.isin(inside, self.sets[t]))[0])
                     best = found.get((r, t))
@@ -107,8 +136,12 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, *, id_col
         for batch in batches:
             names = batch.column(0).to_pylist()
             rows = []
-            for lo, _, words in words_of(batch.column(1)):
-                rows += [(names[lo + r], made.names[t], made.parts[t], first, share) for (r, t), (share, first) in sorted(made.scan(words).items())]
+            raw, at = text_buffers(batch.column(1))
+            for lo, hi in row_slices(at):
+                words = Words(plain(raw[at[lo] : at[hi]]), at[lo : hi + 1] - at[lo])
+                for (r, t), (share, first) in sorted(made.scan(words).items()):
+                    begin = int(words.start[words.at[r] + first] - (at[lo + r] - at[lo]))
+                    rows.append((names[lo + r], made.names[t], made.parts[t], white_word(raw[at[lo + r] : at[lo + r + 1]].tobytes(), begin), share))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "template", "word_start", "containment"])

@@ -82,6 +82,45 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the \u201cSoftware\u201d), to deal"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def _commented(text, mark):
+    return "\n".join(f"{mark}{line}" for line in text.split("\n"))
+
+
+def test_licenses_in_wrapped_and_commented_headers(spark):
+    heads = {"Apache-2.0": APACHE, "GPL-3.0": GPL3, "MIT": MIT, "MPL-2.0": MPL}
+    rows, want = [], {}
+    for mark in ("", "# ", " * ", "//", ";; ", "> "):
+        for name, text in heads.items():
+            want[len(rows)] = {name}
+            rows.append((len(rows), f"first words\n{_commented(text, mark)}\nint main() {{ return 0; }}"))
+    for name, text in [("MIT", "Released under the MIT License, see there"), ("CC-BY-NC-4.0", "(Licensed under CC BY-NC 4.0)"), ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"), (None, "Licensed under CC BY-NC 3.0."), (None, "Licensed under the Apache License, Version 1.1."), (None, "This work is licensed under the GNU General Public License, version 5.")]:
+        want[len(rows)] = {name} - {None}
+        rows.append((len(rows), text))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {i: {r.license for r in found if r.doc_id == i} for i, _ in rows}
+    assert got == want
+    # words are counted as white space parts them
+    assert {r.word_start for r in found if r.doc_id == 0 and r.template == 0} == {2}
+    assert {r.word_start for r in found if r.doc_id == 8 and r.template == 0} == {3}
+    assert {r.word_start for r in found if r.doc_id == 25} == {0}
+
+
 def _sets(texts, k=4):
     out = {}
     for i, t in enumerate(texts):
