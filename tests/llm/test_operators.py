@@ -121,6 +121,31 @@ def test_licenses_in_wrapped_and_commented_headers(spark):
     assert {r.word_start for r in found if r.doc_id == 25} == {0}
 
 
+def test_licenses_of_whole_texts_and_notices(spark):
+    free = "This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU {} as\n * published by the Free Software Foundation; either {}, or\n * (at your option) any later version."
+    some = [
+        ("GPL-2.0", free.format("General Public License", "version 2 of the License")),
+        ("GPL-2.0", free.format("General Public License", "version 2 of the License").replace("software;", "software:")),
+        ("LGPL-2.1", free.format("Lesser General Public License", "version 2.1 of the License")),
+        ("LGPL-3.0", free.format("Lesser General Public License", "version 3 of the License")),
+        ("AGPL-3.0", free.format("Affero General Public License", "version 3 of the License")),
+        ("GPL", free.format("General Public License", "version 9 of the License")),
+        ("CC-BY-SA-4.0", "# Text under a license\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+        ("EPL-2.0", "// SPDX-License-Identifier: EPL-2.0"), ("MIT-0", "SPDX-License-Identifier: MIT-0"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        ("BSD", licenses.TEMPLATES["BSD"][0]), ("CC0-1.0", "Licensed under CC0 1.0"), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ]
+    whole = licenses._whole()
+    assert {"Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} <= set(whole)
+    some += [(name, f"Copyright (c) 1999 Someone\n\n{_commented(text, ' * ')}\nand what follows") for name, text in whole.items()]
+    some.append((None, whole["MIT"][:60]))
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(some)], "doc_id long, text string")).collect()
+    assert [(i, {r.license for r in found if r.doc_id == i}) for i in range(len(some))] == [(i, {name} - {None}) for i, (name, _) in enumerate(some)]
+    # the order of two texts doesn't matter
+    both = [(0, whole["BSD-2-Clause"] + " other words " * 300 + whole["BSD-3-Clause"]), (1, whole["BSD-3-Clause"] + " other words " * 300 + whole["BSD-2-Clause"])]
+    found = licenses.scan(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert all({r.license for r in found if r.doc_id == i} == {"BSD-2-Clause", "BSD-3-Clause"} for i in (0, 1))
+
+
 def _sets(texts, k=4):
     out = {}
     for i, t in enumerate(texts):
