@@ -9,8 +9,8 @@ up to a prediction whose products with the classes' vectors, plus biases, are
 the scores that a softmax over all classes normalises. It is trained in numpy
 by noise-contrastive estimation: every task starts from the same parameters,
 trains on its own texts, and Spark averages the results, ROUNDS times; in each
-round every STRIDE-th token of every text is a training case, other ones each
-time, with all words before it as context. p(word | class) is its
+round every ROUNDS-th token is a training case, other ones each time, so that each
+token of the training texts is one once, with all words before it as context. p(word | class) is its
 count + 1 over those of the class, with a place for words never seen.
 
 Counts, classes and training use all training texts. Counts of the HEAD
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from showerlake.llm.common import U64, Words, keyed, materialise, mod_crc, prepare, words_of
 
 TOP, CLUSTERS, ENDINGS = 63, 64, 2048
-DIMENSIONS, CONTEXT, NOISE, ROUNDS, STRIDE, RATE, BATCH, MIN_STEPS = 16, 6, 48, 2, 8, 0.15, 4096, 120
+DIMENSIONS, CONTEXT, NOISE, ROUNDS, RATE, BATCH, MIN_STEPS = 16, 6, 48, 2, 0.15, 4096, 120
 HEAD = 3_000_000
 #: Tokens of a task that are trained on together.
 BUFFER = 2_000_000
@@ -255,7 +255,9 @@ def train(docs: DataFrame, classes: Classes, share: np.ndarray) -> Model:
             for batch in batches:
                 for _, _, words in words_of(batch.column(1)):
                     sequence, at = with_ends(classes.of(words, endings(words)), words.at)
-                    where = np.arange(turn * (STRIDE // ROUNDS), len(sequence), STRIDE)
+                    # rows begin in either round, so that equal or equally long ones don't train the same places together
+                    begin = np.repeat((keyed(np.arange(len(at) - 1), 31) % U64(ROUNDS)).astype(np.int64), np.diff(at))
+                    where = np.flatnonzero((np.arange(len(sequence)) - at[np.repeat(np.arange(len(at) - 1), np.diff(at))] + begin) % ROUNDS == turn)
                     held.append((contexts(sequence, at, where).astype(np.int16), sequence[where]))
                     tokens, used = tokens + len(where), used + len(where)
                     if tokens >= BUFFER:

@@ -209,6 +209,13 @@ def test_lm(docs, none):
     assert lm.score(none, train).count() == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    # four tokens a text, so that a stride of four or eight meets the same position of each
+    same = spark.createDataFrame([(i, "red green blue") for i in range(400)], "doc_id long, text string")
+    scores = [r.score for r in lm.score(same, lm.F.lit(True)).collect()]
+    assert len(scores) == 400 and min(scores) > -0.3
+
+
 def test_lm_probabilities_are_normalised():
     model = lm.Model(8, np.full(8, 1 / 8))
     before = np.zeros((lm.CONTEXT, 8), np.int64)
