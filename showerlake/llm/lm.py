@@ -316,7 +316,7 @@ def score(df: DataFrame, training, *, id_column: str = "doc_id", text_column: st
     table = known.select("h", "c").toArrow()
     h, c = table["h"].to_numpy().view(U64), table["c"].to_numpy()
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[order], np.minimum(c[order], 2**31 - 1).astype(np.int32), classes, share, model.parameters(), inside, size, texts))
+    shared = spark.sparkContext.broadcast((h[order], c[order].astype(np.int32 if c.max(initial=0) < 2**31 else np.int64), classes, share, model.parameters(), inside, size, texts))
     alone = np.log10(n + (v + 1))
     more = tail is not None
 

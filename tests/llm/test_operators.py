@@ -209,6 +209,16 @@ def test_lm(docs, none):
     assert lm.score(none, train).count() == 0
 
 
+def test_lm_counts_beyond_32_bits(spark, monkeypatch):
+    plain = lm.count_words
+    monkeypatch.setattr(lm, "count_words", lambda docs: plain(docs).withColumn("c", lm.F.col("c") * 5_000_000_000))
+    made = spark.createDataFrame([(0, "red red blue")], "doc_id long, text string")
+    (r,) = lm.score(made, lm.F.lit(True)).collect()
+    n = 15_000_000_000 + 1
+    want = sum(math.log10((c + 1) / (n + 3 + 1)) for c in (10**10, 10**10, 5 * 10**9, 1))
+    assert r.train_tokens == n and r.base_score == pytest.approx(want, abs=1e-6)
+
+
 def test_lm_trains_on_every_position(spark):
     # four tokens a text, so that a stride of four or eight meets the same position of each
     same = spark.createDataFrame([(i, "red green blue") for i in range(400)], "doc_id long, text string")
