@@ -312,7 +312,9 @@ def score(df: DataFrame, training, *, id_column: str = "doc_id", text_column: st
         steps = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toPandas()  # a row for each different count
         fits = steps[steps["n"].cumsum() <= head]["c"]
         least = int(fits.min()) if len(fits) else 1 << 62
-        known, tail = counts.where(F.col("c") >= least), counts.where(F.col("c") < least)
+        # the top words are always known: they are certain in their classes, and get no gain from the tail
+        direct = (F.col("c") >= least) | F.col("h").isin(best["h"].tolist())
+        known, tail = counts.where(direct), counts.where(~direct)
     table = known.select("h", "c").toArrow()
     h, c = table["h"].to_numpy().view(U64), table["c"].to_numpy()
     order = np.argsort(h)
