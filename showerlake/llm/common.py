@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -41,20 +41,39 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the folder that the cluster names for checkpoints.
 
-    Only where spark.checkpoint.dir is unset, as in tests, is a local folder used.
+    Only in local mode, where one machine is all there is, may that setting be
+    missing; on a cluster executors wouldn't see each other's files, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file:///tmp/showerlake-checkpoints-{os.getuid()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there."""
+def _path(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    path, system = _path(spark, uri)
+    system.delete(path, True)
+
+
+def stored(df: DataFrame, uri: str) -> DataFrame:
+    """Writes df as Parquet to a folder, which goes when the driver ends, and reads it again: lineage ends there."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(uri)
+    path, system = _path(spark, uri)
+    system.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(uri)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new shared folder and read from there."""
+    return stored(df, shared_dir(df.sparkSession, name))
 
 
 def default_partitions(spark: SparkSession) -> int:
@@ -274,34 +293,185 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 # --- connected components ----------------------------------------------------
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """No node is both leaf (a) and centre (b), and each leaf has one centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    wrong = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > centre and leaf > 1 or leaf > 0 and centre > 0")
+    return wrong.isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps; each round's edges are written to
-    the shared folder, so no lineage grows and no edge reaches the driver. Edges
-    with a null end are ignored; nodes without a proper edge are their own component.
+    the shared folder, so no lineage grows and no edge reaches the driver, and the
+    round before goes. A node's smallest neighbour comes from a partial aggregate;
+    it is joined under a key of its own (`at`), so that both sides of the join are
+    plain exchanges and Spark can split the edges of a hub. Edges with a null end
+    are ignored; nodes without a proper edge are their own component.
     """
+    spark = edges.sparkSession
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
-    nodes = materialise(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
-    current = nodes
+    folder = shared_dir(spark, "edges")
+    current = stored(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder)
+    own = F.col("a").bitwiseXOR(F.lit(0).cast("long")).alias("at")
     for _ in range(rounds):
+        if _is_star_forest(current):
+            break
         both = current.union(current.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        linked = large.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).select(own, "low")
+        large = both.join(low, F.col("a") == F.col("at")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low")).select(own, "low")
+        linked = large.join(low, F.col("a") == F.col("at"))
         small = linked.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = materialise(small, "edges")
-        # a star forest in which no node is both a leaf and a centre is final
-        mixed = after.select("a").intersect(after.select(F.col("b").alias("a"))).limit(1).count()
-        twice = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        current = after
-        if not mixed and not twice:
-            break
+        before, folder = folder, shared_dir(spark, "edges")
+        current = stored(small, folder)
+        remove(spark, before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     found = leaves.union(centres)
     return found.union(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+# --- connecting the members of groups -----------------------------------------
+
+
+def connect(rows: DataFrame, payload: list[str], find: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], *, block: int, bytes_column: str | None = None, most_bytes: int = 32 << 20, name: str = "groups") -> DataFrame:
+    """Edges (a, b) that connect what is linked inside each group of rows(key, rep, *payload).
+
+    find(rows, side) gives pairs of places that connect the linked rows of a table;
+    side is all -1 (every pair counts), or 0 and 1 (only pairs across do). A group
+    of at most `block` rows and `most_bytes` bytes is one call. A larger one is
+    dealt into blocks, and each block meets the group's pivots (about a quarter of
+    a block, drawn by hash), which is linear work. Members that this leaves outside
+    the largest part of their group meet all of the group, block by block, so that
+    no link between two parts is lost; where pivots connect a group, nothing is
+    left. No task holds more than about two blocks.
+    """
+    size = F.sum(F.length(bytes_column)) / most_bytes if bytes_column else F.lit(0)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), size.alias("big")).where("n > 1")
+    sizes = materialise(sizes.select("key", "n", F.ceil(F.greatest(F.col("n") / block, "big", F.lit(1))).cast("int").alias("blocks")), f"{name}-sizes")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches):
+            group, side, rep = (whole[c].to_numpy() for c in ("group", "side", "rep"))
+            one, two = [], []
+            for a, b in group_ranges(group):
+                pairs = find(whole.slice(a, b - a), side[a:b])
+                one += [int(rep[a + i]) for i, _ in pairs]
+                two += [int(rep[a + j]) for _, j in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    def met(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("group", "side", "rep", *payload)
+        return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a long, b long").distinct()
+
+    def drawn(n, seed: int):
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+
+    def places(side: int, to):
+        return F.transform(to, lambda x: F.struct(F.lit(side).alias("side"), x.alias("at")))
+
+    def spread(df: DataFrame, to) -> DataFrame:
+        df = df.withColumn("place", F.explode(to))
+        group = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "place.at"))
+        return df.withColumns({"group": group, "side": F.col("place.side")})
+
+    blocks = F.col("blocks")
+    none = F.array().cast("array<int>")
+    member = places(0, F.array(drawn(blocks, 0)))
+    pivot = places(1, F.when(drawn(4 * blocks, 1) == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(none))
+    first = rows.join(sizes.drop("n"), "key")
+    first = materialise(met(spread(first, F.when(blocks == 1, places(-1, F.array(F.lit(0)))).otherwise(F.concat(member, pivot)))), name)
+    hot = sizes.where("blocks > 1")
+    if hot.isEmpty():
+        return first
+    part = components(first).select(F.col("node").alias("rep"), "component")
+    parted = rows.select("key", "rep").distinct().join(hot, "key").join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    parted = materialise(parted, f"{name}-parts")
+    counts = parted.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("top"), (F.sum("c") - F.max("c")).alias("rest"))
+    counts = counts.where("rest > 0")
+    left = parted.join(counts, "key").withColumn("deals", F.ceil(blocks * F.col("rest") / F.col("n")).cast("int"))
+    others = places(0, F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda x: x * blocks + drawn(blocks, 0)))
+    outside = places(1, F.when(F.col("part") != F.col("top"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: drawn(F.col("deals"), 2) * blocks + y)).otherwise(none))
+    second = left.select("key", "rep", "blocks", F.concat(others, outside).alias("to")).join(rows, ["key", "rep"])
+    return first.union(materialise(met(spread(second, F.col("to"))), f"{name}-rest"))
+
+
+# --- keys and the members that share them ---------------------------------------
+
+#: Members of one key that a task deals by their key; what comes beyond is dealt by key and member.
+MOST_OF_KEY = 256
+_CELLS = 1 << 20
+
+
+class Piler:
+    """Deals (key, member) pairs of a task into piles, for `shared`.
+
+    Pairs go to the pile of their key. A key of which this task has seen over
+    MOST_OF_KEY pairs (counted in cells that several keys may share) is heavy: its
+    further pairs are spread by key and member, and a mark in the key's pile says so.
+    """
+
+    def __init__(self, piles: int):
+        self.piles, self.seen = piles, np.zeros(_CELLS, np.uint16)
+
+    def deal(self, key: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+        cell = (key >> U64(44)).astype(np.int64)
+        count = np.bincount(cell, minlength=_CELLS)
+        self.seen = np.minimum(self.seen + count, 65535).astype(np.uint16)
+        heavy = self.seen[cell] > MOST_OF_KEY
+        marks = np.unique(key[heavy])
+        parts = [(0, key[~heavy], member[~heavy], key[~heavy]), (1, key[heavy], member[heavy], mix(key[heavy] ^ mix(member[heavy].astype(U64)))), (2, marks, np.zeros(len(marks), np.int64), marks)]
+        out: list[tuple[int, int, bytes, bytes]] = []
+        for kind, k, m, by in parts:
+            pile = (by % U64(self.piles)).astype(np.int32)
+            order = np.argsort(pile, kind="stable")
+            k, m, pile = k[order].astype("<u8"), m[order].astype("<i8"), pile[order]
+            used, first = np.unique(pile, return_index=True)
+            ends = [*first[1:].tolist(), len(pile)][: len(first)]
+            out += [(int(p), kind, k[a:b].tobytes(), m[a:b].tobytes()) for p, a, b in zip(used, first.tolist(), ends, strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["pile", "kind", "keys", "members"])
+
+
+PILE = "pile int, kind int, keys binary, members binary"
+
+
+def shared(piled: DataFrame, parts: int) -> DataFrame:
+    """(key, rep) for keys of two and more members, from the piles of `Piler`; equal groups of members share one key.
+
+    A heavy key's pairs never meet in one task; its group may have one member only.
+    """
+
+    def joined(part: pa.Table, column: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(part[column].to_pylist()), kind)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches):
+            pile, kinds = whole["pile"].to_numpy(), whole["kind"].to_numpy()
+            cuts = np.flatnonzero(np.diff(pile)) + 1
+            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pile)]]), strict=True):
+                part, kind = whole.slice(int(a), int(b - a)), kinds[a:b]
+                light, heavy, marks = (part.filter(pa.array(kind == k)) for k in (0, 1, 2))
+                key, rep = joined(light, "keys", "<u8"), joined(light, "members", "<i8")
+                order = np.lexsort((rep, key))
+                key, rep = key[order], rep[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])
+                key, rep = key[new], rep[new]
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+                size = np.diff(np.append(begin, len(key)))
+                group = np.add.reduceat(keyed(rep.astype(U64), 400), begin) if len(begin) else np.empty(0, U64)
+                hot = np.isin(key[begin], np.unique(joined(marks, "keys", "<u8")))
+                group = np.where(hot, keyed(key[begin], 401), group)
+                many = np.flatnonzero((size > 1) | hot)
+                many = many[np.unique(group[many], return_index=True)[1]]
+                pick = np.isin(np.repeat(np.arange(len(begin)), size), many)
+                more, who = keyed(joined(heavy, "keys", "<u8"), 401), joined(heavy, "members", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(group, size)[pick], more]).astype(np.int64)), pa.array(np.concatenate([rep[pick], who]))], ["key", "rep"])
+
+    return piled.repartition(parts, "pile").sortWithinPartitions("pile").mapInArrow(meet, "key long, rep long").distinct()
