@@ -16,6 +16,12 @@ def width(df: DataFrame, column: str) -> int:
     return best[0].n if best else 0
 
 
+def lengths(column: pa.Array) -> np.ndarray:
+    """Length of each vector, 0 for null."""
+    n = len(column)
+    return np.where(np.asarray(column.is_valid()), np.diff(column.offsets.to_numpy().astype(np.int64)), 0) if n else np.zeros(0, np.int64)
+
+
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(usable, vectors): which rows are usable, and those rows' vectors in double precision.
 
@@ -29,11 +35,11 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     at = column.offsets.to_numpy().astype(np.int64)
     flat = column.values
     values = np.asarray(flat.fill_null(np.nan) if flat.null_count else flat, dtype=float)
-    sizes = np.where(np.asarray(column.is_valid()), np.diff(at), 0)
-    fits = np.flatnonzero(sizes == width)
+    fits = np.flatnonzero(lengths(column) == width)
     rows = values[at[fits][:, None] + np.arange(width)]
     with np.errstate(over="ignore", invalid="ignore"):
-        good = np.isfinite(rows).all(1) & (np.square(rows).sum(1) > 0) & np.isfinite(np.square(rows).sum(1))
+        square = np.square(rows).sum(1)
+        good = np.isfinite(rows).all(1) & (square > 0) & np.isfinite(square)
     usable = np.zeros(n, bool)
     usable[fits[good]] = True
     return usable, rows[good]
