@@ -2,17 +2,19 @@
 
 A document's words are hashed to signs and summed into a few dimensions, its
 direction there is put on a Hilbert curve, and documents are range-sorted by
-their place on it (then by id), so that alike documents share sequences. The
-ids of a range partition are cut every `length` tokens; what is left at its end
+their place on it (then by id), so that alike documents share sequences. Ranges
+hold about equal bytes (`along_curve`). The ids of a range are cut every `length` tokens; what is left at its end
 is cut at powers of two, which need no padding. Nothing global is gathered:
 sequence ids are (partition << 32) + number within it.
 
 Null texts count as empty and still have their end id; empty tables give no
-rows; equal rows are packed once each.
+rows; equal rows are packed once each; a very long text is cut into many
+sequences, within its range. Other columns than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showerlake.llm.bpe import encode_batches, encoder
-from showerlake.llm.common import default_partitions, prepare, words_of
+from showerlake.llm.common import default_partitions, prepare, text_buffers, words_of
 from showerlake.llm.hilbert import hilbert_key
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert long"
-DIMENSIONS, BITS = 5, 12
+DIMENSIONS, BITS, CELL_BITS, TARGET_BYTES = 5, 12, 16, 32 << 20
 
 
 def document_vectors(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -40,19 +42,68 @@ def document_vectors(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarr
     return out
 
 
+def curve_keys(column: pa.Array) -> np.ndarray:
+    """Each text's place on the curve."""
+    cells = np.clip((np.arctan(document_vectors(column) / 3) / np.pi + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
+    return hilbert_key(cells, BITS).astype(np.int64)
+
+
 def with_curve_key(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, text, hilbert): each document's place on the curve."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = document_vectors(batch.column(1))
-            cells = np.clip((np.arctan(vectors / 3) / np.pi + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert_key(cells, BITS).astype(np.int64))], ["doc_id", "text", "hilbert"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(batch.column(1)))], ["doc_id", "text", "hilbert"])
 
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, hilbert long")
 
 
+def curve_bytes(df: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """(cell, bytes): the bytes of all documents in each cell of the curve, and a few for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS)
+        for batch in batches:
+            _, at = text_buffers(batch.column(0))
+            total += np.bincount(curve_keys(batch.column(0)) >> (BITS * DIMENSIONS - CELL_BITS), np.diff(at) + 32, len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].astype(np.int64))], ["cell", "bytes"])
+
+    return df.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes"))
+
+
+def along_curve(placed: DataFrame, sizes: DataFrame, partitions: int) -> DataFrame:
+    """Documents in curve order, dealt to `partitions` or more ranges of about equal bytes (TARGET_BYTES at most, but for one text).
+
+    The bytes of all documents are added up for cells of the curve (2**CELL_BITS
+    of them), of which a range holds neighbouring ones; a cell that is too large
+    for a range, such as that of a hot group of copies, is dealt out by ids.
+    """
+    spark = placed.sparkSession
+    cell = F.shiftrightunsigned("hilbert", BITS * DIMENSIONS - CELL_BITS).cast("int")
+    sums = sizes.orderBy("cell").toPandas()  # 2**CELL_BITS rows at most
+    weight = sums["bytes"].to_numpy().astype(float)
+    wanted = max(partitions, math.ceil(weight.sum() / TARGET_BYTES))
+    most = max(weight.sum() / wanted, 1.0)
+    first, splits, at, held = [], [], 0, 0.0
+    for w in weight:
+        if held and held + w > most:
+            at, held = at + 1, 0.0
+        parts = math.ceil(w / most)
+        first.append(at)
+        splits.append(parts)
+        if parts > 1:
+            at, held = at + parts, 0.0
+        else:
+            held += w
+    sums["first"], sums["splits"] = first, splits
+    table = spark.createDataFrame(sums[["cell", "first", "splits"]].astype("int32"), "cell int, first int, splits int") if len(sums) else spark.createDataFrame([], "cell int, first int, splits int")
+    dealt = placed.withColumn("cell", cell).join(F.broadcast(table), "cell")  # 12 bytes for each cell
+    part = F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("splits")).cast("int")
+    return dealt.repartitionById(at + 1, part).select("doc_id", "text", "hilbert").sortWithinPartitions("hilbert", "doc_id")
+
+
 def cuts(total: int, length: int, at_end: bool) -> list[int]:
     """Lengths of the sequences that `total` tokens fill; without at_end what doesn't fill one is left."""
     out = [length] * (total // length)
@@ -106,5 +157,4 @@ def pack(df: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 2048,
         yield flush(True)
 
     placed = with_curve_key(df, id_column=id_column, text_column=text_column)
-    ordered = placed.repartitionByRange(partitions or default_partitions(spark), "hilbert", "doc_id").sortWithinPartitions("hilbert", "doc_id")
-    return ordered.mapInArrow(run, PIECES)
+    return along_curve(placed, curve_bytes(df, text_column=text_column), partitions or default_partitions(spark)).mapInArrow(run, PIECES)
