@@ -30,7 +30,7 @@ def _is_toxic(text: str | None) -> bool:
 
 def _shingles(text: str) -> set[tuple[str, ...]]:
     w = text.lower().split()
-    return {tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)}
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
 def _one_of_each(texts: dict[int, str]) -> set[int]:
@@ -43,7 +43,7 @@ def _one_of_each(texts: dict[int, str]) -> set[int]:
         while front:
             i = front.pop()
             seen.add(i)
-            front += [j for j in sets if j not in seen and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+            front += [j for j in sets if j not in seen and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     return kept
 
 
