@@ -21,14 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity.learn(docs, labels.where(~toxicity.held_out())))
 
 
-def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what operator 8 finds a language for; texts that are null or have no letter go."""
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what operator 8 finds to be in one of the learned languages; texts without a letter, and those that fit none, go."""
     return language.keep(docs, language.learn(docs.where(mod_crc("doc_id", 3) != 1)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each component of operator 6."""
-    return jaccard.one_of_each(docs)
+    """Keeps one document, that of the smallest id, of each component of operator 6, with shingles of five words and a similarity of 0.8."""
+    return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("language", drop_without_language), ("near_copies", drop_near_copies), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("near_copies", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 
