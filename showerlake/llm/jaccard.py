@@ -52,9 +52,9 @@ from pyspark.sql import functions as F
 
 from showerlake.llm.common import PILE, U64, Piler, components, connect, default_partitions, distinct_by_row, forest, keyed, materialise, mix, prepare, shared, shingles, words_of
 
-SKETCH_BITS, PARTITIONS, BLOCK, SET_BLOCK, MOST_BYTES = 512, 6, 2048, 512, 32 << 20
+SKETCH_BITS, PARTITIONS, BLOCK, SET_BLOCK, MOST_BYTES = 512, 6, 512, 256, 32 << 20
 #: Segments of a size group are measured and allocated in so many classes; signs of a frequency sketch.
-CLASSES, SIGNS = 64, 8
+CLASSES, SIGNS = 64, 4
 #: Cost of a pair that shares a key, in keys written; classes of equal sets whose copies the measure weighs down.
 PAIR, COPIED = 0.02, 1 << 18
 
@@ -240,26 +240,27 @@ def set_keys(at: np.ndarray, values: np.ndarray, sids: np.ndarray, alloc: Alloca
 
 
 def measure(at: np.ndarray, values: np.ndarray, weight: np.ndarray, alloc: Allocation, into: np.ndarray) -> None:
-    """Adds up, in into[cell] for cells (group, partition, class): subsets, deletions, and their sums of signs."""
+    """Adds up, in into[cell] for cells (group, partition, class): subsets, deletions, and their sums of signs.
+
+    Each set is measured once, in the group of which its band is the lower one.
+    """
     n = np.diff(at)
-    band = alloc.band(n)
-    for lower in (0, 1):
-        group = band - lower
-        live = (n > 0) & (group >= 0)
-        live[live] = alloc.most[group[live]] > 0
-        if not live.any():
-            continue
-        own = np.maximum(group, 0)
-        for p, number in enumerate(alloc.partitions(own)):
-            cut = Segments(at, values, own, np.where(live, number, 0), 0)
-            place = (own[cut.row] * 2 + p) * CLASSES + cut.within % CLASSES
-            keys, rows = cut.subsets(use := cut.filled > 0)
-            more, owners, cells = cut.deletions(cut.filled > 1)
-            for k, (key, cell, w) in enumerate(((keys, place[use], weight[rows]), (more, place[cells], weight[owners]))):
-                into[:, k] += np.bincount(cell, w, len(into))
-                bits = keyed(key, 600)
-                for s in range(SIGNS):
-                    into[:, 2 + k * SIGNS + s] += np.bincount(cell, np.where(bits >> U64(s) & U64(1), w, -w), len(into))
+    group = alloc.band(n)
+    live = n > 0
+    live[live] = alloc.most[group[live]] > 0
+    if not live.any():
+        return
+    own = np.maximum(group, 0)
+    for p, number in enumerate(alloc.partitions(own)):
+        cut = Segments(at, values, own, np.where(live, number, 0), 0)
+        place = (own[cut.row] * 2 + p) * CLASSES + cut.within % CLASSES
+        keys, rows = cut.subsets(use := cut.filled > 0)
+        more, owners, cells = cut.deletions(cut.filled > 1)
+        for k, (key, cell, w) in enumerate(((keys, place[use], weight[rows]), (more, place[cells], weight[owners]))):
+            into[:, k] += np.bincount(cell, w, len(into))
+            bits = keyed(key, 600)
+            for s in range(SIGNS):
+                into[:, 2 + k * SIGNS + s] += np.bincount(cell, np.where(bits >> U64(s) & U64(1), w, -w), len(into))
 
 
 def measured(docs: DataFrame, known: DataFrame, k: int, alloc: Allocation) -> tuple[np.ndarray, np.ndarray]:

@@ -373,9 +373,10 @@ def test_measured_pairs(spark):
         values = np.concatenate([v for *_, v in jaccard._sets(jaccard.pa.array([t]), 4)])
         for k in jaccard.set_keys(np.array([0, len(values)]), values, np.zeros(1, int), alloc)[0].tolist():
             found[k] = found.get(k, 0) + 1
-    true = sum(n * (n - 1) / 2 for n in found.values())
-    assert keys[:, 0, :, 0].sum() == pytest.approx(sum(found.values()), rel=0.05)
-    assert true / 2.5 < pairs[:, 0, :, 0].sum() < 2.5 * true
+    # every set is measured in one of its two groups
+    true = sum(n * (n - 1) / 2 for n in found.values()) / 2
+    assert keys[:, 0, :, 0].sum() == pytest.approx(sum(found.values()) / 2, rel=0.1)
+    assert true / 3 < pairs[:, 0, :, 0].sum() < 3 * true
 
 
 @pytest.mark.parametrize("block", [12, 2048])
