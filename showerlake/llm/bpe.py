@@ -184,6 +184,7 @@ def encoder(path: str, pattern: str | None = None) -> BatchEncoder:
             if spec["type"] == "Sequence":
                 own, lower = spec["pretokenizers"][0]["pattern"]["Regex"], True
             else:
+                # fixed value: the public pattern of this vocabulary
                 own, lower = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False
             _encoders[key] = BatchEncoder(Tokenizer.from_file(path), own, not lower, lower)
     return _encoders[key]
