@@ -48,12 +48,13 @@ class ClusterWithinCell:
             points, cells = pdf[["x", "y", "z"]].to_numpy(np.float64), pdf["cell_id"].to_numpy()
             cuts = np.flatnonzero(np.diff(cells)) + 1
             local = np.concatenate([one_cell(p) for p in np.split(points, cuts)])
-            return pd.DataFrame({"shower_id": pdf["shower_id"].to_numpy(), "point_index": pdf["point_index"].to_numpy(), "local": local})
+            return pdf.drop(columns="bucket").assign(local=local)
 
         # cells share grouped maps, as a call for each cell would cost more than its work
+        columns = [c for c in ("shower_id", "cell_id", "point_index", "x", "y", "z", "e", "t") if c in steps.columns]
+        schema = ", ".join(f"{c} {steps.schema[c].dataType.simpleString()}" for c in columns) + ", local bigint"
         bucket = F.pmod(F.xxhash64("cell_id"), F.lit(self.buckets)).alias("bucket")
-        made = steps.select("shower_id", "cell_id", "point_index", "x", "y", "z", bucket).groupBy("shower_id", "bucket").applyInPandas(run, "shower_id int, point_index bigint, local bigint")
-        return steps.join(made, ["shower_id", "point_index"])
+        return steps.select(*columns, bucket).groupBy("shower_id", "bucket").applyInPandas(run, schema)
 
     def compress(self, steps: DataFrame) -> Result:
         need(steps, "cell_id", "cluster_within_cell")
@@ -65,19 +66,41 @@ class ClusterWithinCell:
         return Result(points, stats(steps, points), labels, "cluster_within_cell", {})
 
 
-def neighbour_components(steps: DataFrame, encoding: str) -> DataFrame:
+def cell_field(encoding: str | dict[int, str], *names: str):
+    """The first of the fields `names` that an encoding has, without sign, as a column.
+
+    With an encoding for each subdetector, that of the deposit's; others fail the job.
+    """
+    def one(text: str):
+        fields = parse_encoding(text)
+        return field("cell_id", fields, next((n for n in names if n in fields), names[-1]), signed=False)
+
+    if not isinstance(encoding, dict):
+        return one(encoding)
+    out = None
+    for k, text in encoding.items():
+        own = F.col("subdetector") == k
+        out = F.when(own, one(text)) if out is None else out.when(own, one(text))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no encoding for subdetector "), F.coalesce(F.col("subdetector").cast("string"), F.lit("null")))).cast("bigint"))
+
+
+def neighbour_components(steps: DataFrame, encoding: str | dict[int, str]) -> DataFrame:
     """(shower_id, cell_id, part): occupied cells joined over their four neighbours in a (system, layer).
 
     Field values are read without sign, so -1 and 0 are no neighbours. `part` is
-    the smallest cell, in unsigned order, that is reachable.
+    the smallest cell, in unsigned order, that is reachable. With an encoding for
+    each subdetector there are the columns `subdetector`, by which cells are told
+    apart and decoded, and `plane`, which with `part` names the part.
     """
-    fields = parse_encoding(encoding)
-    second = "y" if "y" in fields else "z"
-    for name in ("system", "layer", "x", second):
-        if name not in fields:
-            raise ValueError(f"the encoding has no field {name!r}")
-    cells = steps.select("shower_id", "cell_id").distinct()
-    placed = cells.select("*", field("cell_id", fields, "system", signed=False).alias("system"), field("cell_id", fields, "layer", signed=False).alias("layer"), field("cell_id", fields, "x", signed=False).alias("u"), field("cell_id", fields, second, signed=False).alias("v"))
+    several = isinstance(encoding, dict)
+    for text in encoding.values() if several else [encoding]:
+        fields = parse_encoding(text)
+        for name in ("system", "layer", "x", "y" if "y" in fields else "z"):
+            if name not in fields:
+                raise ValueError(f"the encoding has no field {name!r}")
+    keys = ["shower_id", *(["subdetector"] if several else []), "cell_id"]
+    decoded = {"system": ("system",), "layer": ("layer",), "u": ("x",), "v": ("y", "z")}
+    placed = steps.select(*keys).distinct().withColumns({k: cell_field(encoding, *names) for k, names in decoded.items()})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(pdf["cell_id"].to_numpy().view(np.uint64), kind="stable")
@@ -101,22 +124,27 @@ def neighbour_components(steps: DataFrame, encoding: str) -> DataFrame:
                     p, q = find(i), find(other)
                     first[max(p, q)] = min(p, q)
         top = [find(i) for i in range(len(pdf))]
-        return pd.DataFrame({"shower_id": pdf["shower_id"].to_numpy(), "cell_id": pdf["cell_id"].to_numpy(), "part": pdf["cell_id"].to_numpy()[top]})
+        return pdf[keys].assign(part=pdf["cell_id"].to_numpy()[top], plane=(pdf["system"] * 2**32 + pdf["layer"]).to_numpy())
 
     # a group is the occupied cells of one layer of one shower
-    return placed.groupBy("shower_id", "system", "layer").applyInPandas(run, "shower_id int, cell_id bigint, part bigint")
+    made = placed.groupBy("shower_id", "system", "layer").applyInPandas(run, ", ".join(f"{k} {t}" for k, t in [*((k, placed.schema[k].dataType.simpleString()) for k in keys), ("part", "bigint"), ("plane", "bigint")]))
+    return made if several else made.drop("plane")
 
 
 def merge_labelled(marked: DataFrame) -> DataFrame:
-    """Points of (shower_id, label): double products, the earliest time, and the cell of the member nearest the barycentre."""
-    cells = "cell_id" in marked.columns
-    points = weighted_merge(marked, ["label"], product="double", time="min", final="double")
-    if cells:
-        d2 = sum((F.col(f"s.{c}").cast("double") - F.col(f"p.{c}")) ** 2 for c in "xyz")
-        joined = marked.alias("s").join(points.alias("p"), (F.col("s.shower_id") == F.col("p.shower_id")) & (F.col("s.label") == F.col("p.label")))
-        near = joined.select(F.col("s.shower_id").alias("shower_id"), F.col("s.label").alias("label"), F.col("s.cell_id").alias("cell_id"), F.struct(d2.alias("d2"), F.col("s.point_index").alias("i")).alias("at"))
-        points = points.join(near.groupBy("shower_id", "label").agg(F.min_by("cell_id", "at").alias("cell_id")), ["shower_id", "label"])
-    return points.withColumns({c: F.col(c).cast("float") for c in ("x", "y", "z", "e")})
+    """Points of (shower_id, label): double products, the earliest time, and the cell of the member nearest the barycentre.
+
+    The barycentre is a window over the group that is aggregated, so that deposits are exchanged once.
+    """
+    each = Window.partitionBy("shower_id", "label")
+    e = F.col("e").cast("double")
+    marked = marked.withColumn("_e", F.sum(e).over(each))
+    safe = F.when(F.col("_e") > 0, F.col("_e")).otherwise(F.lit(1.0))
+    marked = marked.withColumns({f"_{c}": F.sum(F.col(c).cast("double") * e).over(each) / safe for c in "xyz"})
+    near = F.struct(sum((F.col(c).cast("double") - F.col(f"_{c}")) ** 2 for c in "xyz").alias("d2"), F.col("point_index").alias("i"))
+    more = [F.min("t").alias("t")] if "t" in marked.columns else []
+    more += [F.min_by("cell_id", near).alias("cell_id")] if "cell_id" in marked.columns else []
+    return marked.groupBy("shower_id", "label").agg(*[F.max(f"_{c}").cast("float").alias(c) for c in "xyz"], F.max("_e").cast("float").alias("e"), F.count("*").alias("n_merged"), *more)
 
 
 @dataclass
@@ -150,16 +178,6 @@ class HDBSCANClustering:
             if not {"layer", "system"} <= set(parse_encoding(text)):
                 raise ValueError("the encoding needs the fields layer and system")
 
-    def _field(self, name: str):
-        if not isinstance(self.encoding, dict):
-            return field("cell_id", self.encoding, name, signed=False)
-        wrong = F.raise_error(F.concat(F.lit("no encoding for subdetector "), F.coalesce(F.col("subdetector").cast("string"), F.lit("null")))).cast("bigint")
-        out = None
-        for k, text in self.encoding.items():
-            one = F.col("subdetector") == k
-            out = F.when(one, field("cell_id", text, name, signed=False)) if out is None else out.when(one, field("cell_id", text, name, signed=False))
-        return out.otherwise(wrong)
-
     def scoped(self, steps: DataFrame) -> tuple[DataFrame, list]:
         """Deposits with the columns k1, k2 of their scope part, and these in order."""
         if self.scope != "none":
@@ -169,11 +187,12 @@ class HDBSCANClustering:
         zero = F.lit(0).cast("bigint")
         keys = {"none": (zero, zero), "cell_id": (F.col("cell_id") if "cell_id" in steps.columns else zero, zero)}
         if self.scope in ("layer", "system_layer"):
-            keys |= {"layer": (self._field("layer"), zero), "system_layer": (self._field("system"), self._field("layer"))}
+            keys |= {"layer": (cell_field(self.encoding, "layer"), zero), "system_layer": (cell_field(self.encoding, "system"), cell_field(self.encoding, "layer"))}
         if self.scope == "cell_id_neighbour":
-            text = self.encoding if isinstance(self.encoding, str) else next(iter(self.encoding.values()))
-            joined = steps.join(neighbour_components(steps, text).withColumnRenamed("part", "k1"), ["shower_id", "cell_id"])
-            return joined.withColumn("k2", zero), [unsigned_order("k1")]
+            several = isinstance(self.encoding, dict)
+            parts = neighbour_components(steps, self.encoding).withColumnRenamed("part", "k1")
+            parts = parts.withColumnRenamed("plane", "k2") if several else parts.withColumn("k2", zero)
+            return steps.join(parts, ["shower_id", *(["subdetector"] if several else []), "cell_id"]), [unsigned_order("k1"), "k2"]
         k1, k2 = keys[self.scope]
         return steps.withColumns({"k1": k1, "k2": k2}), [unsigned_order("k1"), "k2"]
 
@@ -215,14 +234,14 @@ class HDBSCANClustering:
             pdf = pdf.sort_values("point_index")
             if not np.isfinite(pdf[["x", "y", "z"] + (["t"] if own.use_time else [])].to_numpy(float)).all():
                 raise ValueError("hdbscan needs finite coordinates")
-            pdf["local"] = own.local_labels(pdf).astype(np.int64)
-            return pdf[["shower_id", "point_index", "local"]]
+            return pdf.assign(local=own.local_labels(pdf).astype(np.int64))
 
-        columns = ["shower_id", "k1", "k2", "point_index", "x", "y", "z"] + (["t"] if self.use_time else [])
-        made = placed.select(*columns).groupBy("shower_id", "k1", "k2").applyInPandas(run, "shower_id int, point_index bigint, local bigint")
-        marked = placed.join(made, ["shower_id", "point_index"])
+        # the map returns its deposits, so that nothing is joined back
+        columns = [c for c in ("shower_id", "k1", "k2", "point_index", "x", "y", "z", "e", "t", "cell_id") if c in placed.columns]
+        schema = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns) + ", local bigint"
+        made = placed.select(*columns).groupBy("shower_id", "k1", "k2").applyInPandas(run, schema)
         rank = F.dense_rank().over(Window.partitionBy("shower_id").orderBy(*order, "local")) - 1
-        marked = marked.withColumn("label", rank.cast("bigint"))
+        marked = made.withColumn("label", rank.cast("bigint"))
         points = merge_labelled(marked).drop("n_merged").withColumnRenamed("label", "point_index")
         labels = marked.select("shower_id", "point_index", F.col("label").alias("cluster_label"))
         return Result(points, stats(steps, points), labels, "hdbscan", {k: v for k, v in vars(self).items() if k != "encoding"})

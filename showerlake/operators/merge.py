@@ -63,6 +63,16 @@ def stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("compression_ratio", F.col("n_points_after") / F.greatest(F.col("n_points_before"), F.lit(1)))
 
 
+def merge_stats(merged: DataFrame) -> DataFrame:
+    """As `stats`, from a merge in double precision with n_merged: deposits aren't read or counted again."""
+    out = merged.groupBy("shower_id").agg(F.sum("n_merged").alias("n_points_before"), F.sum("e").alias("energy_before"), F.count("*").alias("n_points_after"), F.sum(F.col("e").cast("float").cast("double")).alias("energy_after"))
+    return out.withColumn("compression_ratio", F.col("n_points_after") / F.greatest(F.col("n_points_before"), F.lit(1)))
+
+
+def as_floats(merged: DataFrame) -> DataFrame:
+    return merged.withColumns({c: F.col(c).cast("float") for c in ("x", "y", "z", "e", "t") if c in merged.columns})
+
+
 def summary(stats_df: DataFrame) -> DataFrame:
     """One row: means of points, the mean of ratios and the ratio of totals; zeros without showers."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -95,8 +105,9 @@ class MergeWithinCell:
     def compress(self, steps: DataFrame) -> Result:
         need(steps, "cell_id", "merge_within_cell")
         order = [unsigned_order("cell_id")]
-        points = numbered(weighted_merge(steps, ["cell_id"], product=self.product).drop("n_merged"), order)
-        return Result(points, stats(steps, points), group_labels(steps, order), "merge_within_cell", {"product": self.product})
+        merged = weighted_merge(steps, ["cell_id"], product=self.product, final="double")
+        points = numbered(as_floats(merged).drop("n_merged"), order)
+        return Result(points, merge_stats(merged), group_labels(steps, order), "merge_within_cell", {"product": self.product})
 
 
 def subcell_index(offset, pitch, bins: int):
@@ -153,11 +164,12 @@ class MergeWithinRegularSubcell:
         if self.position == "center":  # functions of the key, so any member's value is the group's
             t = subcell_center(F.col("cell_x"), F.col("sub_x"), F.col("pitch_t"), self.x_bins)
             extra = {"c_x": F.min(F.col("center_x") + t * F.col("tan_x")), "c_y": F.min(F.col("center_y") + t * F.col("tan_y")), "c_z": F.min(subcell_center(F.col("cell_y"), F.col("sub_y"), F.col("pitch_z"), self.y_bins))}
-        points = weighted_merge(placed, ["cell_id", "sub_x", "sub_y"], extra=extra)
+        merged = weighted_merge(placed, ["cell_id", "sub_x", "sub_y"], extra=extra, final="double")
+        points = as_floats(merged)
         if extra:
             points = points.withColumns({c: F.col(f"c_{c}").cast("float") for c in "xyz"}).drop(*extra)
         points = numbered(points, order).drop("sub_x", "sub_y", "n_merged")
-        return Result(points, stats(steps, points), group_labels(placed, order), "merge_within_regular_subcell", {"x_bins": self.x_bins, "y_bins": self.y_bins, "position": self.position})
+        return Result(points, merge_stats(merged), group_labels(placed, order), "merge_within_regular_subcell", {"x_bins": self.x_bins, "y_bins": self.y_bins, "position": self.position})
 
 
 def cell_energy(steps: DataFrame) -> DataFrame:
