@@ -129,10 +129,8 @@ def series(comparisons: dict[str, Comparison], table: str) -> DataFrame:
 def observables_bins(coords: DataFrame) -> DataFrame:
     """One row with limits over all showers: long_hi (15 bins from 0), radial_hi (50 from 0), log_lo and log_hi (50)."""
     e = metrics.log_energy(F.col("e"))
-    return coords.agg(
-        F.coalesce(F.greatest(F.percentile("long", F.lit(0.99)) * 1.05, F.lit(1.0)), F.lit(1.0)).alias("long_hi"),
-        F.max("radial").alias("radial_hi"), F.min(e).alias("log_lo"), F.max(e).alias("log_hi"),
-    )
+    rest = coords.agg(F.max("radial").alias("radial_hi"), F.min(e).alias("log_lo"), F.max(e).alias("log_hi"))
+    return metrics.upper_limit(coords, "long").withColumnRenamed("limit", "long_hi").join(F.broadcast(rest))  # one row each
 
 
 def observables_histogram(coords: DataFrame) -> DataFrame:
