@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from showerlake.functions import metrics
+from showerlake.operators import select
 
 #: Names of particles by PDG code, and masses in GeV by its absolute value.
 NAMES = {11: "e-", -11: "e+", 13: "mu-", -13: "mu+", 22: r"$\gamma$", 111: "pi0", 211: "pi+", -211: "pi-", 321: "K+", -321: "K-", 2112: "n", 2212: "p"}
@@ -33,16 +34,66 @@ def particle_energy(pdg: Column, momentum: Column) -> Column:
 
 
 def incident_label(pdg: Column, momentum: Column) -> Column:
-    """As `10 GeV e-`; without a momentum the name alone, without a code `incident particle`."""
-    energy = F.coalesce(F.concat(F.round(particle_energy(pdg, momentum)).cast("bigint").cast("string"), F.lit(" GeV")), F.lit(""))
+    """As `10 GeV e-`, halves rounded to the even number; without a momentum the name alone, without a code `incident particle`."""
+    energy = F.coalesce(F.concat(F.bround(particle_energy(pdg, momentum)).cast("bigint").cast("string"), F.lit(" GeV")), F.lit(""))
     return F.trim(F.concat_ws(" ", energy, F.coalesce(particle_name(pdg), F.lit("incident particle"))))
 
 
-def marker_size(df: DataFrame, most: float = 1.0) -> DataFrame:
-    """Adds `size`: the square root of the share of the shower's largest energy."""
+def marker_size(df: DataFrame, most: float = 1.0, *, least: float = 0.0, together: bool = False) -> DataFrame:
+    """Adds `size`, between least and most: by the root of the share of the largest energy, of the shower or of all that are shown `together`."""
     e = F.greatest(F.col("e").cast("double"), F.lit(0.0))
-    top = F.max(e).over(Window.partitionBy("shower_id"))
-    return df.withColumn("size", F.when(top > 0, F.sqrt(e / top) * most).otherwise(F.lit(0.0)))
+    if together:
+        df = df.join(F.broadcast(df.agg(F.max(e).alias("_top"))))  # one row
+    else:
+        df = df.withColumn("_top", F.max(e).over(Window.partitionBy("shower_id")))
+    return df.withColumn("size", least + (most - least) * F.sqrt(e / F.greatest(F.col("_top"), F.lit(1e-12)))).drop("_top")
+
+
+def color_values(df: DataFrame, by: str = "energy") -> DataFrame:
+    """Adds `color`, `color_lo` and `color_hi`.
+
+    energy: the log energy, from its 1st to its 99th percentile; pdg, subdetector,
+    cluster_label: the 0-based place of the value among those that occur.
+    """
+    if by == "energy":
+        df = df.withColumn("color", metrics.log_energy(F.col("e")))
+        ends = df.agg(F.percentile("color", F.lit(0.01)).alias("color_lo"), F.percentile("color", F.lit(0.99)).alias("color_hi"))
+        return df.join(F.broadcast(ends))  # one row
+    if by not in ("pdg", "subdetector", "cluster_label"):
+        raise ValueError(f"unknown colour {by!r}")
+    if by not in df.columns:
+        raise ValueError(f"colour by {by} needs that column")
+    found = df.select(by).distinct()
+    places = found.select(F.col(by).alias("_kind"), (F.row_number().over(Window.orderBy(by)) - 1).cast("double").alias("color"))  # the values that occur: a few kinds, or a picture's clusters
+    ends = found.agg(F.lit(-0.5).alias("color_lo"), (F.count("*") - 0.5).alias("color_hi"))
+    return df.join(places, F.col(by).eqNullSafe(F.col("_kind")), "left").drop("_kind").join(F.broadcast(ends))
+
+
+def display_points(inputs: dict[str, DataFrame], *, axes: DataFrame | None = None, percent: float | None = None, limits: dict[str, tuple[float, float]] | None = None, color: str = "energy", least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """Points of one to three inputs, named by `series`, with sizes and colours that they share.
+
+    percent: crops each shower to the radius around its axis (of `axes`) that holds
+    so much of its energy; limits: of x, y and z.
+    """
+    if not 1 <= len(inputs) <= 3:
+        raise ValueError("one to three inputs can be shown")
+    out = None
+    for name, steps in inputs.items():
+        if percent is not None:
+            if axes is None:
+                raise ValueError("a crop needs axes")
+            columns = steps.columns
+            steps = select.energy_crop(metrics.in_frame(steps.join(axes, "shower_id")), percent).select(*columns)
+        for axis, (lo, hi) in (limits or {}).items():
+            steps = select.axis_crop(steps, axis, lo, hi)
+        own = steps.withColumn("series", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return color_values(marker_size(out, most, least=least, together=True), color)
+
+
+def overlay_colors(df: DataFrame) -> DataFrame:
+    """Colours of deposits drawn over a detector: their cluster where they have one, else their energy."""
+    return color_values(df, "cluster_label" if "cluster_label" in df.columns else "energy")
 
 
 def display_axes(steps: DataFrame, primaries: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ class WorldBounds:
 
 
 def energy_crop(coords: DataFrame, percent: float, *, radial: str = "radial") -> DataFrame:
-    """Deposits inside the radius that holds `percent` of a shower's energy; a crop to fewer than two keeps all."""
+    """Deposits inside the radius that holds `percent` of a shower's energy; a crop to fewer than two, or one of a shower without energy, keeps all."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
     each = Window.partitionBy("shower_id")
@@ -38,7 +38,7 @@ def energy_crop(coords: DataFrame, percent: float, *, radial: str = "radial") ->
     marked = marked.withColumn("_cut", F.min(F.when(F.col("_run") >= F.col("_all") * (percent / 100), F.col(radial))).over(each))
     inside = F.col(radial) <= F.col("_cut")
     marked = marked.withColumns({"_in": inside, "_n": F.sum(F.when(inside, 1).otherwise(0)).over(each)})
-    return marked.where(F.col("_in") | (F.col("_n") < 2)).drop("_run", "_all", "_cut", "_in", "_n")
+    return marked.where(F.col("_in") | (F.col("_n") < 2) | ~(F.col("_all") > 0)).drop("_run", "_all", "_cut", "_in", "_n")
 
 
 def axis_crop(df: DataFrame, axis: str, lo: float, hi: float) -> DataFrame:
