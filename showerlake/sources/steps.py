@@ -47,14 +47,14 @@ def check_steps(df: DataFrame) -> DataFrame:
 
 
 READERS = {".parquet": "parquet", ".json": "json", ".csv": "csv", ".orc": "orc"}
-GATED = {".h5": "h5py", ".hdf5": "h5py", ".root": "podio"}
+GATED = (".h5", ".hdf5", ".root")
 
 
-def read_steps(spark: SparkSession, path: str, *, shower_limit: int | None = None) -> DataFrame:
-    """Deposits of a file or folder; its last suffix names the format."""
+def read_steps(spark: SparkSession, path: str, *, shower_limit: int | None = None, collections: list[str] | None = None) -> DataFrame:
+    """Deposits of a file or folder; its last suffix names the format. collections: what is read of ROOT event files."""
     suffix = PurePosixPath(path.rstrip("/")).suffix
     if suffix in GATED:
-        return limit_showers(_gated(spark, path, suffix), shower_limit)
+        return limit_showers(_gated(spark, path, suffix, collections), shower_limit)
     if suffix not in READERS:
         raise ValueError(f"unknown format {suffix or path!r}")
     kind = READERS[suffix]
@@ -66,25 +66,10 @@ def read_steps(spark: SparkSession, path: str, *, shower_limit: int | None = Non
     return limit_showers(conform(df), shower_limit)
 
 
-def _gated(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    try:
-        module = __import__(GATED[suffix])
-    except ImportError as error:
-        raise ImportError(f"reading {suffix} needs {GATED[suffix]}") from error
-    if suffix == ".root":
-        raise NotImplementedError("read the events with podio into the nested layout of flatten_events")
-    import pandas as pd
-
-    with module.File(path) as file:
-        steps = file["steps"]
-        made = {"shower_id": steps["event_id"][:], "e": steps["energy"][:]} | dict(zip("xyz", steps["position"][:].T, strict=True))
-        for ours, theirs in (("t", "time"), ("cell_id", "cell_id"), ("pdg", "pdg"), ("cluster_label", "cluster_label"), ("track_id", "track_id")):
-            if theirs in steps:
-                values = steps[theirs][:]
-                made[ours] = values.view("int64") if ours == "cell_id" else values
-    pdf = pd.DataFrame(made)
-    pdf["point_index"] = pdf.groupby("shower_id").cumcount()
-    return conform(spark.createDataFrame(pdf))
+def _gated(spark: SparkSession, path: str, suffix: str, collections: list[str] | None) -> DataFrame:
+    from showerlake.sources import files
+
+    return conform(files.events(spark, path, collections)[0] if suffix == ".root" else files.hdf5_steps(spark, path))
 
 
 def limit_showers(steps: DataFrame, n: int | None) -> DataFrame:

@@ -7,25 +7,35 @@ from pyspark.sql import functions as F
 
 
 def stream_merge(stream: DataFrame, *, time: str = "ts", watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Energy, count and weighted place of each (window, shower, cell); late rows go by the watermark."""
+    """Count, energy and energy-weighted x, y, z and t (those that are there) of each (window, shower, cell).
+
+    Rows later than the watermark go; a group without energy is at the origin.
+    """
     w = F.col("e").cast("double")
     grouped = stream.withWatermark(time, watermark).groupBy(F.window(time, window).alias("w"), "shower_id", "cell_id")
-    out = grouped.agg(F.count("*").alias("n"), F.sum(w).alias("e"), F.sum(F.col("x").cast("double") * w).alias("sx"))
-    return out.select(F.col("w.start").alias("window_start"), "shower_id", "cell_id", "n", "e", F.when(F.col("e") > 0, F.col("sx") / F.col("e")).otherwise(0.0).alias("x"))
+    places = [c for c in "xyzt" if c in stream.columns]
+    out = grouped.agg(F.count("*").alias("n"), F.sum(w).alias("e"), *[F.sum(F.col(c).cast("double") * w).alias(f"s{c}") for c in places])
+    means = [F.when(F.col("e") > 0, F.col(f"s{c}") / F.col("e")).otherwise(0.0).alias(c) for c in places]
+    return out.select(F.col("w.start").alias("window_start"), "shower_id", "cell_id", "n", "e", *means)
+
 
+def compress_batches(stream: DataFrame, algorithm, path: str, *, checkpoint: str, once: bool = False):
+    """Each micro-batch of whole showers goes through an algorithm; returns the running query.
 
-def compress_batches(stream: DataFrame, algorithm, path: str, *, checkpoint: str):
-    """Each micro-batch of whole showers goes through an algorithm; returns the running query."""
+    A batch is written to a folder of its number, which a repeated batch (after a
+    restart) replaces, so that nothing is written twice. once: only what is there.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         algorithm.compress(batch).points.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def events_as_deposits(events: DataFrame) -> DataFrame:
-    """The driver's events: a shower for each user, a cell for each event type."""
+    """The driver's events: a shower for each user, a cell for each event type, places by value and hour."""
     cells = {"click": 1, "view": 2, "purchase": 3, "signup": 4, "logout": 5}
     code = F.create_map(*[F.lit(v) for kv in cells.items() for v in kv])
     cell = F.coalesce(F.element_at(code, F.col("event_type")), F.lit(0))
-    return events.select("ts", F.col("user_id").alias("shower_id"), cell.cast("bigint").alias("cell_id"), F.abs("value").alias("e"), F.lit(1.0).alias("x"))
+    return events.select("ts", F.col("user_id").alias("shower_id"), cell.cast("bigint").alias("cell_id"), F.abs("value").alias("e"), F.hour("ts").cast("double").alias("x"), F.minute("ts").cast("double").alias("y"), cell.cast("double").alias("z"), F.dayofmonth("ts").cast("double").alias("t"))
