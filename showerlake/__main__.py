@@ -1,7 +1,9 @@
 """Command line: `python -m showerlake` reads showers, compresses, validates and writes them.
 
 `python -m showerlake compare` writes the tables that compare written showers
-with one another or, where there is one input alone, with its compressed form.
+with one another or, where there is one input alone, with its compressed form;
+`inspect` those that describe one input, `cells` a detector's outlines and cells,
+with deposits over them, and `display` the points of up to three inputs.
 """
 
 from __future__ import annotations
@@ -10,14 +12,20 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from showerlake.functions import metrics
 from showerlake.operators.cluster import SCOPES, ClusterWithinCell, HDBSCANClustering, ward_clusterer
-from showerlake.operators.compare import Comparison, checked, series
+from showerlake.operators import layout
+from showerlake.operators.compare import Comparison, checked, observables_histogram, series
+from showerlake.operators.display import color_values, display_points, overlay_colors
 from showerlake.operators.merge import Identity, MergeWithinCell, MergeWithinRegularSubcell, Result, stats, summary, summary_text
+from showerlake.operators.select import WorldBounds
 from showerlake.operators.validate import CellCountRatio, EnergyConservation, ShowerMoments, long_form
 from showerlake.sources.compact import Compact, read_barrel
-from showerlake.sources.steps import read_steps, write_debug_steps, write_steps
+from showerlake.sources.steps import pick_showers, read_steps, write_debug_steps, write_steps
 
+#: Names of algorithms, options and their defaults.
 ALGORITHMS = ("identity", "merge_within_cell", "merge_within_regular_subcell", "hdbscan", "cluster_within_cell_agglomerative")
 
 
@@ -40,6 +48,7 @@ def common(p: argparse.ArgumentParser) -> argparse.ArgumentParser:
     p.add_argument("--output", required=True, help="folder that the results are written to")
     p.add_argument("--algorithm", choices=ALGORITHMS, default="identity")
     p.add_argument("--shower-limit", type=int)
+    p.add_argument("--collections", nargs="+", help="collections that are read of ROOT event files")
     p.add_argument("--compact-xml", help="detector description that geometry and encodings are read from")
     p.add_argument("--collection-name", nargs="+", help="readouts in it, in the order of subdetector indexes")
     p.add_argument("--grid-x", type=int, default=2)
@@ -95,7 +104,7 @@ def compare(argv: list[str], spark: SparkSession | None = None) -> str:
     if len(labels) != len(o.input) or len(set(labels)) < len(labels):
         raise ValueError("each input needs a --label of its own")
     spark = spark or SparkSession.builder.appName("showerlake").getOrCreate()
-    inputs = [read_steps(spark, path, shower_limit=o.shower_limit) for path in o.input]
+    inputs = [read_steps(spark, path, shower_limit=o.shower_limit, collections=o.collections) for path in o.input]
     if len(inputs) == 1:
         inputs, labels = [inputs[0], algorithm(spark, o).compress(inputs[0]).points], [*labels, o.algorithm]
     frame = {"axis": tuple(o.axis) if o.axis else None, "origin": tuple(o.origin) if o.origin else None}
@@ -106,14 +115,122 @@ def compare(argv: list[str], spark: SparkSession | None = None) -> str:
     return "".join(f"{o.output}/{name}.parquet\n" for name in names)
 
 
+def _written(tables: dict[str, DataFrame], output: str) -> str:
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{output}/{name}.parquet")
+    return "".join(f"{output}/{name}.parquet\n" for name in tables)
+
+
+def inspect(argv: list[str], spark: SparkSession) -> str:
+    """Tables of one input: observables, histograms on shared bins and on each shower's own, and one shower's coordinates."""
+    p = argparse.ArgumentParser(prog="showerlake inspect", description=inspect.__doc__)
+    p.add_argument("--input", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--collections", nargs="+")
+    p.add_argument("--shower-index", type=int, help="0-based shower whose deposits are written with their coordinates")
+    p.add_argument("--axis", nargs=3, type=float, help="axis of all showers instead of each one's own")
+    o = p.parse_args(argv)
+    steps = read_steps(spark, o.input, collections=o.collections)
+    axes = tuple(o.axis) if o.axis else metrics.pca_axes(steps)
+    tables = {
+        "observables": metrics.observables(steps, axes), "histograms": metrics.own_histograms(steps, axes),
+        "matrix": observables_histogram(metrics.shower_coordinates(steps, axes, origin="first_deposit")),
+    }
+    text = ""
+    if o.shower_index is not None:
+        one = pick_showers(steps, [o.shower_index])
+        placed = metrics.shower_coordinates(one, axes).withColumnRenamed("long", "long_centroid").select("shower_id", "point_index", "x", "y", "z", "e", "long_centroid", "radial", "phi")
+        first = metrics.shower_coordinates(one, axes, origin="first_deposit").select("shower_id", "point_index", F.col("long").alias("long_first"))
+        tables["shower"] = color_values(placed.join(first, ["shower_id", "point_index"]))
+        r = tables["shower"].orderBy("point_index").first()
+        text = f"shower_id={r.shower_id} first_long_centroid={r.long_centroid:.3f} first_long={r.long_first:.3f} first_xyz=({r.x:.3f}, {r.y:.3f}, {r.z:.3f})\n"
+    return text + _written(tables, o.output)
+
+
+def _limits(p: argparse.ArgumentParser) -> None:
+    for axis in "xyz":
+        p.add_argument(f"--{axis}lim", nargs=2, type=float)
+
+
+def cells(argv: list[str], spark: SparkSession) -> str:
+    """Tables of a detector's modules, layers or cells, and of deposits drawn over them."""
+    p = argparse.ArgumentParser(prog="showerlake cells", description=cells.__doc__)
+    p.add_argument("--compact-xml", required=True)
+    p.add_argument("--collection", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--show", choices=("modules", "layers", "cells"), default="modules")
+    p.add_argument("--module", type=int, help="1-based; needed for cells")
+    p.add_argument("--layer", type=int, help="1-based")
+    p.add_argument("--overlay-input")
+    p.add_argument("--overlay-shower-index", type=int, default=0)
+    p.add_argument("--overlay-collections", nargs="+")
+    _limits(p)
+    o = p.parse_args(argv)
+    barrel = read_barrel(o.compact_xml, o.collection)
+    if o.module is not None and not 1 <= o.module <= barrel.sides:
+        raise ValueError(f"--module must lie in 1 to {barrel.sides}")
+    if o.show == "modules" and (o.module is not None or o.layer is not None):
+        raise ValueError("modules are shown whole: no --module or --layer")
+    if o.show == "cells" and o.module is None:
+        raise ValueError("cells need --module")
+
+    def chosen(df: DataFrame) -> DataFrame:
+        for name in ("module", "layer"):
+            if getattr(o, name) is not None:
+                df = df.where(F.col(name) == getattr(o, name))
+        return df
+
+    window = {a: tuple(getattr(o, f"{a}lim") or (None, None)) for a in "xyz"}
+    boxes = barrel.envelopes(spark) if o.show == "modules" else chosen(barrel.boxes(spark))
+    edges = layout.crossing(layout.outlines(boxes), window)
+    tables = {"outlines": edges, "bounds": layout.bounds(edges)}
+    if o.show == "cells":
+        planes = chosen(barrel.planes(spark))
+        for view in layout.VIEWS:
+            tables[f"cells_{view}"] = layout.overlapping(layout.cell_polygons(planes, view), window[view[0]], window[view[1]])
+    if o.overlay_input:
+        steps = pick_showers(read_steps(spark, o.overlay_input, collections=o.overlay_collections), [o.overlay_shower_index])
+        bounds = WorldBounds(*[w if None not in w else None for w in window.values()])
+        tables["overlay"] = overlay_colors(steps.where(bounds.mask()))
+    return barrel.report() + "\n" + _written(tables, o.output)
+
+
+def display(argv: list[str], spark: SparkSession) -> str:
+    """The table of points, sizes and colours of one to three inputs."""
+    p = argparse.ArgumentParser(prog="showerlake display", description=display.__doc__)
+    p.add_argument("--input", required=True, nargs="+")
+    p.add_argument("--label", nargs="+")
+    p.add_argument("--output", required=True)
+    p.add_argument("--collections", nargs="+")
+    p.add_argument("--shower-index", type=int, default=0)
+    p.add_argument("--color", choices=("energy", "pdg", "subdetector", "cluster_label"), default="energy")
+    p.add_argument("--percent", type=float, help="share of the energy that is shown, by radius")
+    p.add_argument("--sizes", nargs=2, type=float, default=(0.0, 1.0))
+    _limits(p)
+    o = p.parse_args(argv)
+    labels = o.label or [str(i) for i in range(len(o.input))]
+    if len(set(labels)) != len(o.input):
+        raise ValueError("each input needs a --label of its own")
+    inputs = {name: pick_showers(read_steps(spark, path, collections=o.collections), [o.shower_index]) for name, path in zip(labels, o.input, strict=True)}
+    first = next(iter(inputs.values()))
+    axes = metrics.centroid(first).drop("total_e").join(metrics.pca_axes(first), "shower_id")
+    limits = {a: tuple(getattr(o, f"{a}lim")) for a in "xyz" if getattr(o, f"{a}lim")}
+    return _written({"points": display_points(inputs, axes=axes, percent=o.percent, limits=limits, color=o.color, least=o.sizes[0], most=o.sizes[1])}, o.output)
+
+
+COMMANDS = {"inspect": inspect, "cells": cells, "display": display}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     """Runs the command and returns what it prints: the summary, or the tables written."""
     argv = sys.argv[1:] if argv is None else argv
     if argv[:1] == ["compare"]:
         return compare(argv[1:], spark)
+    if argv[:1] and argv[0] in COMMANDS:
+        return COMMANDS[argv[0]](argv[1:], spark or SparkSession.builder.appName("showerlake").getOrCreate())
     o = options(argv)
     spark = spark or SparkSession.builder.appName("showerlake").getOrCreate()
-    steps = read_steps(spark, o.input, shower_limit=o.shower_limit)
+    steps = read_steps(spark, o.input, shower_limit=o.shower_limit, collections=o.collections)
     result = algorithm(spark, o).compress(steps)
     points = written(steps, result, o)
     checks = [EnergyConservation(), ShowerMoments()] + ([CellCountRatio()] if "cell_id" in steps.columns else [])
