@@ -47,6 +47,12 @@ def r(expression: str, places: int, name: str) -> str:
     return f"round(CAST({expression} AS DOUBLE), {places}) + 0.0 AS {name}"
 
 
+def _single(expression: str) -> str:
+    return f"CAST({expression} AS FLOAT)"
+
+
+#: What compress() gives: sums and means in double precision, kept as FLOAT.
+KEPT = ", ".join([r(_single(f"CASE WHEN e > 0 THEN {c}e/e ELSE 0 END"), 3, c) for c in "xyzt"] + [r(_single("e"), 3, "e")])
 MERGED = f"{r('CASE WHEN e > 0 THEN xe/e ELSE 0 END', 3, 'x')}, {r('CASE WHEN e > 0 THEN ye/e ELSE 0 END', 3, 'y')}, {r('CASE WHEN e > 0 THEN ze/e ELSE 0 END', 3, 'z')}, {r('CASE WHEN e > 0 THEN te/e ELSE 0 END', 3, 't')}, {r('e', 4, 'e')}"
 
 
@@ -56,19 +62,18 @@ def identity(spark, sf_dir):
     return rounded(made.points.withColumn("cluster_label", F.col("point_index")), 3, "x", "y", "z", "e").drop("t")
 
 
-def _exact(steps: DataFrame, keys: list[str], product: str = "float") -> DataFrame:
-    """The merge before its cast to FLOAT, so that rounding can be compared."""
-    return rounded(rounded(merge.weighted_merge(steps, keys, product=product, final="double").drop("n_merged"), 3, "x", "y", "z", "t"), 4, "e")
+def _points(made, *columns: str) -> DataFrame:
+    return rounded(made.points.select("shower_id", *columns, "x", "y", "z", "t", "e"), 3, "x", "y", "z", "t", "e")
 
 
-@query(f"WITH {STEPS}, {CELLS} SELECT shower_id, cell_id, {MERGED} FROM cells")
+@query(f"WITH {STEPS}, {CELLS} SELECT shower_id, cell_id, {KEPT} FROM cells")
 def merge_within_cell(spark, sf_dir):
-    return _exact(steps_from_lineitem(spark, sf_dir), ["cell_id"])
+    return _points(merge.MergeWithinCell().compress(steps_from_lineitem(spark, sf_dir)), "cell_id")
 
 
-@query(f"WITH {STEPS}, {CELLS.replace('CAST(x*e AS DOUBLE)', 'CAST(x AS DOUBLE)*e').replace('CAST(y*e AS DOUBLE)', 'CAST(y AS DOUBLE)*e').replace('CAST(z*e AS DOUBLE)', 'CAST(z AS DOUBLE)*e').replace('CAST(t*e AS DOUBLE)', 'CAST(t AS DOUBLE)*e')} SELECT shower_id, cell_id, {MERGED} FROM cells")
+@query(f"WITH {STEPS}, {CELLS.replace('CAST(x*e AS DOUBLE)', 'CAST(x AS DOUBLE)*e').replace('CAST(y*e AS DOUBLE)', 'CAST(y AS DOUBLE)*e').replace('CAST(z*e AS DOUBLE)', 'CAST(z AS DOUBLE)*e').replace('CAST(t*e AS DOUBLE)', 'CAST(t AS DOUBLE)*e')} SELECT shower_id, cell_id, {KEPT} FROM cells")
 def merge_within_cell_double(spark, sf_dir):
-    return _exact(steps_from_lineitem(spark, sf_dir), ["cell_id"], "double")
+    return _points(merge.MergeWithinCell("double").compress(steps_from_lineitem(spark, sf_dir)), "cell_id")
 
 
 @query(f"WITH {STEPS}, {CELLS} SELECT shower_id, cell_id, row_number() OVER (PARTITION BY shower_id ORDER BY cell_id) - 1 AS point_index, n AS n_merged FROM cells")
@@ -134,16 +139,25 @@ def energy_ratio(spark, sf_dir):
     return rounded(found.select("shower_id", "energy_ratio", "passed"), 6, "energy_ratio")
 
 
-@query(f"WITH {STEPS} SELECT shower_id, count(DISTINCT cell_id) AS cells_before, count(DISTINCT cell_id) AS cells_after, CAST(1.0 AS DOUBLE) AS cell_ratio FROM steps GROUP BY 1")
+@query(f"WITH {STEPS} SELECT shower_id, count(DISTINCT cell_id) AS cells_before, count(DISTINCT CASE WHEN (cell_id >> 8) & 255 <> 3 THEN cell_id END) AS cells_after, count(DISTINCT CASE WHEN (cell_id >> 8) & 255 <> 3 THEN cell_id END)/CAST(count(DISTINCT cell_id) AS DOUBLE) AS cell_ratio FROM steps GROUP BY 1")
 def cell_count_ratio(spark, sf_dir):
+    """Against merged points of which a layer was lost."""
     s = steps_from_lineitem(spark, sf_dir)
-    return validate.CellCountRatio().run(s, merge.MergeWithinCell().compress(s).points)
+    after = merge.MergeWithinCell().compress(s).points.where(field("cell_id", ENCODING, "layer") != 3)
+    return validate.CellCountRatio().run(s, after)
 
 
-@query(f"WITH {STEPS} SELECT DISTINCT shower_id, true AS finite, true AS non_negative, true AS has_cells, true AS has_points, true AS passed FROM steps")
+@query(f"WITH {STEPS}, b AS (SELECT DISTINCT shower_id, shower_id % 6 AS k FROM steps) SELECT shower_id, k <> 1 AS finite, k <> 0 AS non_negative, k <> 2 AS has_cells, k <> 3 AS has_points, k > 3 AS passed FROM b")
 def sanity(spark, sf_dir):
+    """Against merged points that were spoiled: negative energies, missing places, missing cells, missing showers."""
     s = steps_from_lineitem(spark, sf_dir)
-    return validate.Sanity().run(s, merge.MergeWithinCell().compress(s).points)
+    after, k = merge.MergeWithinCell().compress(s).points, F.col("shower_id") % 6
+    first = F.col("point_index") == 0
+    spoiled = after.where(k != 3).withColumns({
+        "e": F.when(first & (k == 0), -F.col("e")).otherwise(F.col("e")), "x": F.when(first & (k == 1), F.lit(float("nan")).cast("float")).otherwise(F.col("x")),
+        "cell_id": F.when(first & (k == 2), None).otherwise(F.col("cell_id")),
+    })
+    return validate.Sanity().run(s, spoiled)
 
 
 @query(f"WITH {STEPS}, {CENTRE} SELECT shower_id, {r('total', 2, 'total_e')}, {r('cx', 4, 'cx')}, {r('cy', 4, 'cy')}, {r('cz', 4, 'cz')} FROM centre")
@@ -165,15 +179,15 @@ def coords_origins(spark, sf_dir):
     return rounded(a.join(b, ["shower_id", "point_index"]), 4, "from_first", "from_min")
 
 
-@query(f"WITH {STEPS}, {CENTRE}, {COORDS} SELECT shower_id, {r('sum(radial*w)/sum(w)', 4, 'radial_m1')}, {r('sum(long*long*w)/sum(w)', 2, 'long_m2')}, {r('sum(radial*radial*w)/sum(w)', 2, 'radial_m2')} FROM coords GROUP BY 1")
+@query(f"WITH {STEPS}, {CENTRE}, {COORDS} SELECT shower_id, {r('sum(long*w)/sum(w)', 4, 'long_m1')}, {r('sum(radial*w)/sum(w)', 4, 'radial_m1')}, {r('sum(long*long*w)/sum(w)', 2, 'long_m2')}, {r('sum(radial*radial*w)/sum(w)', 2, 'radial_m2')} FROM coords GROUP BY 1")
 def moments_fixed_axis(spark, sf_dir):
-    m = validate.ShowerMoments(X_AXIS).moments(steps_from_lineitem(spark, sf_dir)).drop("long_m1")
-    return rounded(rounded(m, 4, "radial_m1"), 2, "long_m2", "radial_m2")
+    m = validate.ShowerMoments(X_AXIS).moments(steps_from_lineitem(spark, sf_dir))
+    return rounded(rounded(m, 4, "long_m1", "radial_m1"), 2, "long_m2", "radial_m2")
 
 
 @query(f"WITH {STEPS}, {CENTRE}, {COORDS}, f AS (SELECT shower_id, long AS l0 FROM coords WHERE point_index = 0), d AS (SELECT c.shower_id, w, long - l0 AS l, radial FROM coords c JOIN f ON c.shower_id = f.shower_id) SELECT shower_id, count(*) AS num_steps, {r('sum(w)', 2, 'total_energy')}, {r('sum(l*w)/sum(w)', 3, 'mean_long')}, {r('sum(l*l*w)/sum(w) - power(sum(l*w)/sum(w), 2)', 2, 'var_long')}, {r('sum(radial*w)/sum(w)', 3, 'mean_radial')}, {r('sum(radial*radial*w)/sum(w) - power(sum(radial*w)/sum(w), 2)', 2, 'var_radial')} FROM d GROUP BY 1")
 def observables_fixed_axis(spark, sf_dir):
-    o = metrics.observables(steps_from_lineitem(spark, sf_dir), X_AXIS)
+    o = metrics.observables(steps_from_lineitem(spark, sf_dir), X_AXIS).drop("cx", "cy", "cz", "ax", "ay", "az")
     return rounded(rounded(o, 3, "mean_long", "mean_radial"), 2, "total_energy", "var_long", "var_radial")
 
 
@@ -217,7 +231,7 @@ def hist_log_energy(spark, sf_dir):
 @query(f"WITH {STEPS}, {CENTRE}, {COORDS} SELECT {r('greatest(quantile_cont(long, 0.99)*1.05, 1)', 4, 'long_limit')}, {r('max(radial)', 4, 'radial_limit')} FROM coords")
 def dataset_bins(spark, sf_dir):
     c = metrics.shower_coordinates(steps_from_lineitem(spark, sf_dir), X_AXIS)
-    both = c.agg(F.greatest(F.percentile("long", F.lit(0.99)) * 1.05, F.lit(1.0)).alias("long_limit"), F.max("radial").alias("radial_limit"))
+    both = metrics.upper_limit(c, "long").withColumnRenamed("limit", "long_limit").join(F.broadcast(c.agg(F.max("radial").alias("radial_limit"))))
     return rounded(both, 4, "long_limit", "radial_limit")
 
 
@@ -291,10 +305,9 @@ def _subcell(spark, sf_dir, position):
     return merge.MergeWithinRegularSubcell(_planes(spark, sf_dir), SUBCELL_ENCODING, 3, 2, position)
 
 
-@query(f"WITH {STEPS}, {SUB}, {CELLS.replace('SELECT shower_id, cell_id,', 'SELECT shower_id, cell_id, sub_x, sub_y,').replace('FROM steps GROUP BY 1, 2', 'FROM k GROUP BY 1, 2, 3, 4')} SELECT shower_id, cell_id, sub_x, sub_y, {MERGED} FROM cells")
+@query(f"WITH {STEPS}, {SUB}, {CELLS.replace('SELECT shower_id, cell_id,', 'SELECT shower_id, cell_id, sub_x, sub_y,').replace('FROM steps GROUP BY 1, 2', 'FROM k GROUP BY 1, 2, 3, 4')} SELECT shower_id, cell_id, row_number() OVER (PARTITION BY shower_id ORDER BY cell_id, sub_x, sub_y) - 1 AS point_index, {KEPT} FROM cells")
 def subcell_weighted(spark, sf_dir):
-    made = _subcell(spark, sf_dir, "weighted").keyed(steps_from_lineitem(spark, sf_dir))
-    return _exact(made, ["cell_id", "sub_x", "sub_y"])
+    return _points(_subcell(spark, sf_dir, "weighted").compress(steps_from_lineitem(spark, sf_dir)), "cell_id", "point_index")
 
 
 @query(f"WITH {STEPS}, {SUB}, g AS (SELECT shower_id, cell_id, sub_x, sub_y, max(px) AS px, max(py) AS py, sum(CAST(e AS DOUBLE)) AS e FROM k GROUP BY 1, 2, 3, 4) SELECT shower_id, cell_id, row_number() OVER (PARTITION BY shower_id ORDER BY cell_id, sub_x, sub_y) - 1 AS point_index, {r('100 + px*40 - 20 + (sub_x + 0.5)*40/3', 3, 'x')}, {r('py*10 - 5 + (sub_y + 0.5)*10/2', 3, 'z')} FROM g")
@@ -308,17 +321,12 @@ def neighbour_parts(spark, sf_dir):
     return neighbour_components(steps_from_lineitem(spark, sf_dir), ENCODING)
 
 
-@query(f"WITH {STEPS}, p AS (SELECT shower_id, cell_id & 255 AS system, (cell_id >> 8) & 255 AS layer, count(*) AS n, sum(CAST(e AS DOUBLE)) AS e, min(t) AS t FROM steps GROUP BY 1, 2, 3) SELECT shower_id, row_number() OVER (PARTITION BY shower_id ORDER BY system, layer) - 1 AS point_index, {r('e', 2, 'e')}, CAST(t AS DOUBLE) AS t FROM p")
+@query(f"WITH {STEPS}, p AS (SELECT shower_id, cell_id & 255 AS system, (cell_id >> 8) & 255 AS layer, count(*) AS n, sum(CAST(e AS DOUBLE)) AS e, min(t) AS t FROM steps GROUP BY 1, 2, 3) SELECT shower_id, row_number() OVER (PARTITION BY shower_id ORDER BY system, layer) - 1 AS point_index, {r('CAST(e AS FLOAT)', 2, 'e')}, CAST(t AS DOUBLE) AS t FROM p")
 def scope_all_noise_merge(spark, sf_dir):
     """A cluster size that no part reaches: each part is one point."""
     made = HDBSCANClustering(min_cluster_size=10**6, min_samples=1, scope="system_layer", encoding=ENCODING)
-    s = steps_from_lineitem(spark, sf_dir)
-    marked, order = made.scoped(s)
-    from pyspark.sql import Window
-
-    marked = marked.withColumn("label", (F.dense_rank().over(Window.partitionBy("shower_id").orderBy(*order)) - 1).cast("bigint"))
-    points = merge.weighted_merge(marked, ["label"], product="double", time="min", final="double")
-    return rounded(points.select("shower_id", F.col("label").alias("point_index"), "e", F.col("t").cast("double").alias("t")), 2, "e")
+    points = made.compress(steps_from_lineitem(spark, sf_dir)).points
+    return rounded(points.select("shower_id", "point_index", "e", F.col("t").cast("double").alias("t")), 2, "e")
 
 
 @query(f"WITH {STEPS}, {CENTRE}, d AS (SELECT s.shower_id, cell_id, point_index, round(power(CAST(x AS DOUBLE)-cx, 2) + power(CAST(y AS DOUBLE)-cy, 2) + power(CAST(z AS DOUBLE)-cz, 2), 6) AS d2 FROM steps s JOIN centre c ON s.shower_id = c.shower_id), k AS (SELECT *, row_number() OVER (PARTITION BY shower_id ORDER BY d2, point_index) AS k FROM d) SELECT shower_id, cell_id FROM k WHERE k = 1")
@@ -326,15 +334,98 @@ def nearest_cell_representative(spark, sf_dir):
     return merge_labelled(steps_from_lineitem(spark, sf_dir).withColumn("label", F.lit(0))).select("shower_id", "cell_id")
 
 
-@query()
+def _dominant_sql(rows: str, n: str) -> str:
+    """CTEs that give the dominant direction d{n} (shower_id, ax, ay, az) of `rows` (shower_id, x, y, z, e): squares of the covariance tend to its projector."""
+    pairs = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    full = lambda a, b: a + b if a <= b else b + a
+    square = {p: " + ".join(f"{full(p[0], k)}*{full(k, p[1])}" for k in "xyz") for p in pairs}
+    trace = f"({square['xx']} + {square['yy']} + {square['zz']})"
+    mean = ", ".join(f"sum({c}*e)/sum(e) AS m{c}" for c in "xyz")
+    cov = ", ".join(f"sum(({p[0]} - m{p[0]})*({p[1]} - m{p[1]})*e)/sum(e) AS {p}" for p in pairs)
+    column = lambda a: ", ".join(f"{full(a, c)}/sqrt({a + a}) AS a{c}" for c in "xyz")
+    best = "CASE WHEN xx >= yy AND xx >= zz THEN 'x' WHEN yy >= zz THEN 'y' ELSE 'z' END"
+    return f"""m{n} AS (SELECT shower_id, {mean} FROM {rows} GROUP BY 1), c{n} AS (SELECT r.shower_id, 0 AS k, {cov} FROM {rows} r JOIN m{n} USING (shower_id) GROUP BY 1),
+ p{n} AS (SELECT * FROM c{n} UNION ALL SELECT shower_id, k + 1, {', '.join(f'({square[p]})/{trace}' for p in pairs)} FROM p{n} WHERE k < 40),
+ f{n} AS (SELECT *, {best} AS best FROM p{n} WHERE k = 40), d{n} AS ({' UNION ALL '.join(f"SELECT shower_id, {column(a)} FROM f{n} WHERE best = '{a}'" for a in 'xyz')})"""
+
+
+def _axes_sql(rows: str, n: str, toward: str = "VALUES (-1, 1.0, 1.0, 1.0)") -> str:
+    """CTEs that give ax{n} (shower_id, cx, cy, cz, ax, ay, az), refined between the 10th and the 99th percentile and turned."""
+    along = "(x - mx)*ax + (y - my)*ay + (z - mz)*az"
+    turned = "CASE WHEN d.ax*coalesce(t.tx, 1) + d.ay*coalesce(t.ty, 1) + d.az*coalesce(t.tz, 1) < 0 THEN -1 ELSE 1 END"
+    axes = ", ".join(f"d.a{c}*{turned} AS a{c}" for c in "xyz")
+    return f"""t{n}(shower_id, tx, ty, tz) AS ({toward}), {_dominant_sql(rows, n)}, s{n} AS (SELECT d.shower_id, {axes} FROM d{n} d LEFT JOIN t{n} t USING (shower_id)),
+ l{n} AS (SELECT r.*, {along} AS long FROM {rows} r JOIN m{n} USING (shower_id) JOIN s{n} USING (shower_id)),
+ q{n} AS (SELECT shower_id, quantile_cont(long, 0.1) AS lo, quantile_cont(long, 0.99) AS hi FROM l{n} GROUP BY 1), k{n} AS (SELECT l.* FROM l{n} l JOIN q{n} USING (shower_id) WHERE long >= lo AND long <= hi),
+ {_dominant_sql(f'k{n}', f'{n}r')}, ax{n} AS (SELECT d.shower_id, m.mx AS cx, m.my AS cy, m.mz AS cz, {axes} FROM d{n}r d JOIN m{n} m USING (shower_id) LEFT JOIN t{n} t USING (shower_id))"""
+
+
+DOUBLES = "CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(e AS DOUBLE) AS e"
+STEPS_R = STEPS.replace("steps AS", "RECURSIVE steps AS", 1)
+
+
+@query(f"WITH {STEPS_R}, b AS (SELECT shower_id, {DOUBLES} FROM steps), {_axes_sql('b', '1', 'SELECT s_suppkey, CAST(s_acctbal AS FLOAT), 0.0, 0.0 FROM supplier')} SELECT shower_id, {r('ax', 4, 'ax')}, {r('ay', 4, 'ay')}, {r('az', 4, 'az')} FROM ax1")
 def pca_axis(spark, sf_dir):
-    return rounded(metrics.pca_axes(steps_from_lineitem(spark, sf_dir), primaries_from_supplier(spark, sf_dir)), 6, "ax", "ay", "az")
+    return rounded(metrics.pca_axes(steps_from_lineitem(spark, sf_dir), primaries_from_supplier(spark, sf_dir)), 4, "ax", "ay", "az")
 
 
-@query()
+def _own_moments_sql(rows: str, n: str) -> str:
+    along = "(x - cx)*ax + (y - cy)*ay + (z - cz)*az"
+    return f"""{_axes_sql(rows, n)}, o{n} AS (SELECT shower_id, e, {along} AS long, sqrt(greatest((x - cx)*(x - cx) + (y - cy)*(y - cy) + (z - cz)*(z - cz) - ({along})*({along}), 0)) AS radial FROM {rows} JOIN ax{n} USING (shower_id)),
+ v{n} AS (SELECT shower_id, sum(long*e)/sum(e) AS l1, sum(long*long*e)/sum(e) AS l2, sum(radial*e)/sum(e) AS r1, sum(radial*radial*e)/sum(e) AS r2 FROM o{n} GROUP BY 1)"""
+
+
+@query(f"WITH {STEPS_R}, {CELLS}, b AS (SELECT shower_id, {DOUBLES} FROM steps), a AS (SELECT shower_id, {', '.join(f'CAST(CAST({c}e/e AS FLOAT) AS DOUBLE) AS {c}' for c in 'xyz')}, CAST(CAST(e AS FLOAT) AS DOUBLE) AS e FROM cells), {_own_moments_sql('b', '1')}, {_own_moments_sql('a', '2')} SELECT shower_id, {r('v2.l1 - v1.l1', 3, 'd_long_m1')}, {r('v2.l2 - v1.l2', 1, 'd_long_m2')}, {r('v2.r1 - v1.r1', 2, 'd_radial_m1')}, {r('v2.r2 - v1.r2', 1, 'd_radial_m2')} FROM v1 JOIN v2 USING (shower_id)")
 def moments_own_axis(spark, sf_dir):
     s = steps_from_lineitem(spark, sf_dir)
-    return validate.ShowerMoments().run(s, merge.MergeWithinCell().compress(s).points)
+    found = validate.ShowerMoments().run(s, merge.MergeWithinCell().compress(s).points)
+    return rounded(rounded(rounded(found, 3, "d_long_m1"), 1, "d_long_m2", "d_radial_m2"), 2, "d_radial_m1")
+
+
+_OWN = ", ".join(f"('{v}', CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE), CAST({v} AS DOUBLE), {w})" for v, lo, hi, w in (("radial", "NULL", "NULL", "w"), ("phi", "-pi()", "pi()", "w"), ("log_energy", "NULL", "NULL", "CAST(1 AS DOUBLE)")))
+
+
+@query(f"WITH {STEPS}, {CENTRE}, {COORDS}, c AS (SELECT *, log10(greatest(w, 1e-12)) AS log_energy FROM coords), v AS (SELECT shower_id, u.* FROM c, LATERAL (VALUES {_OWN}) u(variable, lo, hi, value, weight)), b AS (SELECT shower_id, variable, coalesce(any_value(lo), min(value) - CASE WHEN min(value) = max(value) THEN 0.5 ELSE 0 END) AS lo, coalesce(any_value(hi), max(value) + CASE WHEN min(value) = max(value) THEN 0.5 ELSE 0 END) AS hi FROM v GROUP BY ALL), h AS (SELECT v.shower_id, v.variable, least(CAST(floor((value - b.lo)/((b.hi - b.lo)/50)) AS INT), 49) AS bin, sum(weight) AS weight FROM v JOIN b ON v.shower_id = b.shower_id AND v.variable = b.variable GROUP BY ALL), g AS (SELECT *, unnest(range(0, 50)) AS bin FROM b) SELECT g.shower_id, g.variable, CAST(g.bin AS INT) AS bin, {r('lo', 4, 'lo')}, {r('hi', 4, 'hi')}, {r('coalesce(h.weight, 0)', 2, 'weight')} FROM g LEFT JOIN h ON g.shower_id = h.shower_id AND g.variable = h.variable AND g.bin = h.bin")
+def own_histograms(spark, sf_dir):
+    found = metrics.own_histograms(steps_from_lineitem(spark, sf_dir), X_AXIS).where("variable <> 'long'")  # its bins' borders lie on values here
+    return rounded(rounded(found, 4, "lo", "hi"), 2, "weight")
+
+
+@query(f"WITH {STEPS}, {CENTRE}, {COORDS}, f AS (SELECT shower_id, long AS l0 FROM coords WHERE point_index = 0) SELECT c.shower_id, {r('min(long - l0)', 4, 'lo')}, {r('max(long - l0)', 4, 'hi')}, {r('sum(w)', 1, 'weight')}, CAST(30 AS BIGINT) AS bins FROM coords c JOIN f ON c.shower_id = f.shower_id GROUP BY 1")
+def own_histogram_long(spark, sf_dir):
+    found = metrics.own_histograms(steps_from_lineitem(spark, sf_dir), X_AXIS).where("variable = 'long'")
+    found = found.groupBy("shower_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("weight").alias("weight"), F.count("*").alias("bins"))
+    return rounded(rounded(found, 4, "lo", "hi"), 1, "weight")
+
+
+@query(f"WITH {STEPS}, c AS (SELECT shower_id, point_index, log10(greatest(CAST(e AS DOUBLE), 1e-12)) AS color FROM steps), q AS (SELECT quantile_cont(color, 0.01) AS lo, quantile_cont(color, 0.99) AS hi FROM c) SELECT shower_id, point_index, {r('color', 6, 'color')}, {r('lo', 6, 'color_lo')}, {r('hi', 6, 'color_hi')} FROM c, q")
+def color_by_energy(spark, sf_dir):
+    found = display.color_values(steps_from_lineitem(spark, sf_dir))
+    return rounded(found.select("shower_id", "point_index", "color", "color_lo", "color_hi"), 6, "color", "color_lo", "color_hi")
+
+
+@query(f"WITH {STEPS}, c AS (SELECT shower_id, point_index, (cell_id >> 8) & 255 AS k FROM steps) SELECT shower_id, point_index, CAST(dense_rank() OVER (ORDER BY k) - 1 AS DOUBLE) AS color, CAST(-0.5 AS DOUBLE) AS color_lo, CAST((SELECT count(DISTINCT k) FROM c) - 0.5 AS DOUBLE) AS color_hi FROM c")
+def color_by_subdetector(spark, sf_dir):
+    s = steps_from_lineitem(spark, sf_dir).withColumn("subdetector", field("cell_id", ENCODING, "layer"))
+    return rounded(display.color_values(s, "subdetector").select("shower_id", "point_index", "color", "color_lo", "color_hi"), 6, "color", "color_lo", "color_hi")
+
+
+@query(f"WITH {STEPS}, c AS (SELECT shower_id, cell_id, count(*) AS n, sum(CAST(e AS DOUBLE)) AS e FROM steps GROUP BY 1, 2) SELECT shower_id, cell_id, {r('e', 1, 'e')}, true AS possible FROM c")
+def cluster_within_cell_energy(spark, sf_dir):
+    """Of each cell the energy of its points, and whether their number is one that its deposits can make."""
+    s = steps_from_lineitem(spark, sf_dir)
+    points = ClusterWithinCell(ward_clusterer(20.0)).compress(s).points
+    found = points.groupBy("shower_id", "cell_id").agg(F.sum(F.col("e").cast("double")).alias("e"), F.count("*").alias("points"))
+    joined = found.join(s.groupBy("shower_id", "cell_id").agg(F.count("*").alias("n")), ["shower_id", "cell_id"])
+    return rounded(joined.select("shower_id", "cell_id", "e", F.col("points").between(1, F.col("n")).alias("possible")), 1, "e")
+
+
+@query(f"WITH {STEPS}, p AS (SELECT shower_id, cell_id & 255 AS system, (cell_id >> 8) & 255 AS layer, sum(CAST(e AS DOUBLE)) AS e, min(t) AS t FROM steps GROUP BY 1, 2, 3) SELECT shower_id, system, layer, {r('e', 1, 'e')}, CAST(t AS DOUBLE) AS t FROM p")
+def hdbscan_energy(spark, sf_dir):
+    """Of each part of a shower the energy of its points and their earliest time: clusters never leave their part."""
+    made = HDBSCANClustering(5, 3, scope="system_layer", encoding=ENCODING).compress(steps_from_lineitem(spark, sf_dir)).points
+    placed = made.withColumns({n: field("cell_id", ENCODING, n) for n in ("system", "layer")})
+    return rounded(placed.groupBy("shower_id", "system", "layer").agg(F.sum(F.col("e").cast("double")).alias("e"), F.min(F.col("t").cast("double")).alias("t")), 1, "e")
 
 
 @query()
@@ -362,6 +453,11 @@ SIDES = f"""sides AS (SELECT 'before' AS side, shower_id, cell_id, CAST(x AS DOU
  placed AS (SELECT side, shower_id, cell_id, e, x AS long, sqrt((y-1250)*(y-1250) + z*z) AS radial, atan2(z, y-1250) AS phi FROM sides)"""
 
 
+def _exact(steps: DataFrame, keys: list[str], product: str = "float") -> DataFrame:
+    """The merge before its cast to FLOAT."""
+    return rounded(rounded(merge.weighted_merge(steps, keys, product=product, final="double").drop("n_merged"), 3, "x", "y", "z", "t"), 4, "e")
+
+
 def _comparison(spark, sf_dir) -> Comparison:
     s = steps_from_lineitem(spark, sf_dir)
     return Comparison(s, _exact(s, ["cell_id"]), axis=X_AXIS, origin=(0.0, 1250.0, 0.0))
@@ -400,7 +496,7 @@ def observables_matrix(spark, sf_dir):
     return rounded(observables_histogram(placed).where(F.col("variable").isin("long", "radial")), 2, "weight")
 
 
-@query(r"SELECT CAST(s_suppkey AS INT) AS shower_id, CAST(CAST(round(abs(CAST(s_acctbal AS FLOAT))) AS BIGINT) AS VARCHAR) || ' GeV $\gamma$' AS label FROM supplier")
+@query(r"SELECT CAST(s_suppkey AS INT) AS shower_id, CAST(CAST(round_even(CAST(abs(CAST(s_acctbal AS FLOAT)) AS DOUBLE), 0) AS BIGINT) AS VARCHAR) || ' GeV $\gamma$' AS label FROM supplier")
 def incident_labels(spark, sf_dir):
     p = primaries_from_supplier(spark, sf_dir)
     return p.select("shower_id", display.incident_label(F.col("pdg"), F.col("momentum")).alias("label"))
@@ -411,10 +507,10 @@ def marker_sizes(spark, sf_dir):
     return rounded(display.marker_size(steps_from_lineitem(spark, sf_dir)).select("shower_id", "point_index", "size"), 6, "size")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, user_id AS shower_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'logout' THEN 5 ELSE 0 END AS cell_id, count(*) AS n, round(sum(abs(value)), 3) AS e FROM events GROUP BY 1, 2, 3")
+@query("SELECT date_trunc('hour', ts) AS window_start, user_id AS shower_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'logout' THEN 5 ELSE 0 END AS cell_id, count(*) AS n, round(sum(abs(value)), 3) AS e, round(sum(abs(value)*hour(ts))/sum(abs(value)), 4) + 0.0 AS x, round(sum(abs(value)*minute(ts))/sum(abs(value)), 4) + 0.0 AS y, round(sum(abs(value)*dayofmonth(ts))/sum(abs(value)), 4) + 0.0 AS t FROM events GROUP BY 1, 2, 3")
 def stream_merge_batch(spark, sf_dir):
     """The streaming aggregate, run on the whole table as a batch."""
     from showerlake.streaming.stream import events_as_deposits, stream_merge
 
     found = stream_merge(events_as_deposits(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    return rounded(found.select("window_start", "shower_id", "cell_id", "n", "e"), 3, "e")
+    return rounded(rounded(found.drop("z"), 3, "e"), 4, "x", "y", "t")
