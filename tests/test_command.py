@@ -75,3 +75,22 @@ def test_display(spark):
     assert (axes.first().ax, axes.first().cx) == (1.0, 1.0)
     line = incident_lines(steps, axes).first()
     assert (line.x0, line.x1, line.y0) == (-100.0, -10.0, 0.0)
+
+
+def test_inspect_cells_and_display_commands(spark, source, tmp_path, compact):  # noqa: F811
+    out = str(tmp_path / "tables")
+    text = main(["inspect", "--input", source, "--output", out, "--shower-index", "1", "--axis", "1", "0", "0"], spark)
+    assert text.startswith("shower_id=8 first_long_centroid=") and len(text.splitlines()) == 5
+    assert spark.read.parquet(f"{out}/observables.parquet").count() == 2 and spark.read.parquet(f"{out}/shower.parquet").count() == 12
+    assert {r.n for r in spark.read.parquet(f"{out}/histograms.parquet").groupBy("shower_id").count().toDF("s", "n").collect()} == {180}
+    assert "layers=3" in main(["cells", "--compact-xml", str(compact), "--collection", "Hits", "--output", out], spark)
+    assert spark.read.parquet(f"{out}/outlines.parquet").count() == 8 * 12
+    main(["cells", "--compact-xml", str(compact), "--collection", "Hits", "--output", out, "--show", "cells", "--module", "2", "--layer", "1", "--overlay-input", source, "--overlay-shower-index", "1", "--xlim", "-9999", "9999"], spark)
+    assert spark.read.parquet(f"{out}/cells_xy.parquet").select("module", "layer").distinct().collect() == [(2, 1)]
+    assert spark.read.parquet(f"{out}/overlay.parquet").count() == 12
+    main(["display", "--input", source, source, "--label", "a", "b", "--output", out, "--percent", "90", "--sizes", "1", "4"], spark)
+    points = spark.read.parquet(f"{out}/points.parquet").collect()
+    assert {p.series for p in points} == {"a", "b"} and max(p["size"] for p in points) == 4.0
+    for wrong in (["--show", "cells"], ["--module", "99"], ["--show", "modules", "--layer", "1"]):
+        with pytest.raises(ValueError):
+            main(["cells", "--compact-xml", str(compact), "--collection", "Hits", "--output", out, *wrong], spark)

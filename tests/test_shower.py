@@ -134,3 +134,158 @@ def test_bounds_pairing_pipeline_and_files(spark, tmp_path):
 def test_weighted_quantile(spark):
     df = steps(spark, [(1, i, i, 0, 0, 1, 1) for i in range(4)]).withColumn("w", F.lit(1.0))
     assert metrics.weighted_quantile(df, "x", "w", 0.5).first()["quantile"] == 1.0
+
+
+def test_neighbours_with_an_encoding_for_each_subdetector(spark):
+    texts = {0: "system:8,layer:6,x:8,y:8", 1: "system:8,layer:6,y:8,x:8"}
+    at = lambda u, v: 1 | 1 << 8 | u << 14 | v << 22
+    rows = [(1, i, 0.0, 0.0, 0.0, 1.0, 0.0, c, k) for i, (c, k) in enumerate([(at(0, 0), 0), (at(1, 0), 0), (at(4, 0), 0), (at(0, 3), 1), (at(0, 2), 1)])]
+    df = spark.createDataFrame(rows, SCHEMA + ", subdetector smallint")
+    # both subdetectors have the system and layer of the field values, so their cells are neighbours of one another: x 0, 1 and 4, then 3 and 2
+    parts = {(r.subdetector, r.cell_id): r.part for r in neighbour_components(df, texts).collect()}
+    assert len(set(parts.values())) == 1
+    alone = {(r.subdetector, r.cell_id): r.part for r in neighbour_components(df.where("subdetector = 0"), texts).collect()}
+    assert len(set(alone.values())) == 2
+    # decoded by the first encoding, cells of the second are three steps apart along y
+    far = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, 0.0, at(0, 0), 1), (1, 1, 0.0, 0.0, 0.0, 1.0, 0.0, at(3, 0), 1)], SCHEMA + ", subdetector smallint")
+    assert len({r.part for r in neighbour_components(far, texts).collect()}) == 2
+    made = HDBSCANClustering(5, 3, scope="cell_id_neighbour", encoding=texts).compress(df)
+    assert sum(p.e for p in made.points.collect()) == 5 and made.labels.count() == 5
+    with pytest.raises(Exception, match="no encoding for subdetector"):
+        neighbour_components(df.withColumn("subdetector", F.lit(9).cast("smallint")), texts).collect()
+
+
+def test_axes_of_awkward_showers(spark):
+    df = steps(spark, [(1, 0, 0, 0, 0, 1, 1), (1, 1, 3, 4, 0, 1, 1), (2, 0, 5, 5, 5, 1, 1), (3, 0, 1, 0, 0, 0, 1), (3, 1, 2, 0, 0, 0, 1)])
+    twice = spark.createDataFrame([(1, [-1.0, 0.0, 0.0]), (1, [-2.0, 0.0, 0.0])], "shower_id int, momentum array<float>")
+    found = {r.shower_id: r for r in metrics.pca_axes(df, twice).collect()}
+    assert len(found) == 3 and metrics.pca_axes(df, twice).count() == 3
+    assert (found[1].ax, found[1].ay) == pytest.approx((-0.6, -0.8)) and found[2].ax is None and found[3].ax is None
+
+
+def test_axis_is_turned_before_it_is_refined(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 300), rng.normal(40, 1, 10)])
+    y = np.where(x > 20, 30.0, rng.normal(0, 0.2, 310))
+    df = steps(spark, [(1, i, a, b, 0, 1, 1) for i, (a, b) in enumerate(zip(x, y, strict=True))])
+    axis = {}
+    for sign in (1.0, -1.0):
+        r = metrics.pca_axes(df, spark.createDataFrame([(1, [sign, 0.0, 0.0])], "shower_id int, momentum array<float>")).first()
+        axis[sign] = np.array([r.ax, r.ay, r.az])
+        points = np.column_stack([x, y, 0 * x]).astype(np.float32).astype(float)
+        first = np.linalg.eigh(np.cov(points.T))[1][:, 2]
+        first *= np.sign(first[0]) * sign
+        along = (points - points.mean(0)) @ first
+        inside = (along >= np.percentile(along, 10)) & (along <= np.percentile(along, 99))
+        want = np.linalg.eigh(np.cov(points[inside].T))[1][:, 2]
+        assert abs(axis[sign] @ want) == pytest.approx(1, abs=1e-9) and axis[sign][0] * sign > 0
+    assert abs(axis[1.0] @ axis[-1.0]) < 0.999  # the percentiles aren't symmetric
+
+
+def test_crop_without_energy_and_marker_sizes(spark):
+    from showerlake.operators.display import color_values, display_points, incident_label, marker_size, overlay_colors
+    from showerlake.operators.select import energy_crop
+
+    df = steps(spark, [(1, i, i, 0, 0, 0, 1) for i in range(4)] + [(2, i, i, 0, 0, 1 + 3 * (i == 0), 1) for i in range(4)]).withColumn("radial", F.col("x").cast("double"))
+    assert {r.shower_id: r["count"] for r in energy_crop(df, 50).groupBy("shower_id").count().collect()} == {1: 4, 2: 4} and energy_crop(df, 60).where("shower_id = 2").count() == 2
+    sizes = {(r.shower_id, r.point_index): r["size"] for r in marker_size(df, 5.0, least=1.0, together=True).collect()}
+    assert sizes[2, 0] == 5.0 and sizes[2, 1] == 3.0 and sizes[1, 0] == 1.0
+    even = spark.createDataFrame([(22, [2.5, 0.0, 0.0]), (22, [3.5, 0.0, 0.0])], "pdg int, momentum array<float>")
+    assert [r[0] for r in even.select(incident_label(F.col("pdg"), F.col("momentum"))).collect()] == [r"2 GeV $\gamma$", r"4 GeV $\gamma$"]
+    marked = df.withColumn("pdg", F.when(F.col("point_index") < 2, 11).otherwise(-13)).withColumn("cluster_label", F.col("point_index") * 10)
+    assert {(r.pdg, r.color, r.color_lo, r.color_hi) for r in color_values(marked, "pdg").collect()} == {(-13, 0.0, -0.5, 1.5), (11, 1.0, -0.5, 1.5)}
+    assert {r.color for r in overlay_colors(marked).collect()} == {0.0, 1.0, 2.0, 3.0}
+    both = display_points({"a": df, "b": df.where("shower_id = 2")}, limits={"x": (0, 2)})
+    assert both.count() == 9 and set(both.columns) >= {"series", "size", "color"}
+    for wrong in ({}, dict.fromkeys("abcd", df)):
+        with pytest.raises(ValueError):
+            display_points(wrong)
+    with pytest.raises(ValueError):
+        color_values(df, "subdetector")
+
+
+def test_percentiles_of_whole_tables(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=3000), np.repeat([1.0, 2.0, 5.0], 400), np.array([4.0]), rng.integers(0, 3, 1000).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        found = metrics.bracketed_percentiles(df, "v", (0.01, 0.5, 0.99, 1.0), accuracy=100).first()
+        assert list(found) == pytest.approx(np.percentile(values, [1, 50, 99, 100]).tolist(), abs=1e-12)
+    assert list(metrics.bracketed_percentiles(df.where("false"), "v", (0.5,)).first()) == [None]
+
+
+def test_own_histograms_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, i, *rng.normal(size=3) * 10, rng.random() + 0.1, 1) for s in (1, 2) for i in range(80)]
+    df = steps(spark, rows)
+    found = {}
+    for r in metrics.own_histograms(df, (0, 0, 1)).collect():
+        found.setdefault((r.shower_id, r.variable), {})[r.bin] = r.weight
+    for s in (1, 2):
+        p = np.array([r[2:6] for r in rows if r[0] == s], np.float32).astype(float)
+        e = p[:, 3]
+        rel = p[:, :3] - np.average(p[:, :3], axis=0, weights=e)
+        long, radial = rel[:, 2] - rel[0, 2], np.hypot(rel[:, 0], rel[:, 1])
+        want = {"long": np.histogram(long, 30, weights=e), "radial": np.histogram(radial, 50, weights=e), "phi": np.histogram(np.arctan2(rel[:, 1], rel[:, 0]), np.linspace(-np.pi, np.pi, 51), weights=e), "log_energy": np.histogram(np.log10(e), 50)}
+        for name, (h, _) in want.items():
+            assert [found[s, name][i] for i in range(len(h))] == pytest.approx(h.tolist()), name
+
+
+def _plain_hdbscan(x, size, samples, epsilon):
+    """Clusters by definition: components of mutual reachability graphs at every height, chosen by excess of mass."""
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, min(samples, n) - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    np.fill_diagonal(reach, 0)
+    levels = np.unique(reach[np.triu_indices(n, 1)])[::-1]
+
+    def parts(members, below):
+        left, out = set(members), []
+        while left:
+            own, front = set(), [min(left)]
+            while front:
+                i = front.pop()
+                own.add(i)
+                front += [j for j in left - own if reach[i, j] < below and j not in front]
+            left -= own
+            out.append(frozenset(own))
+        return out
+
+    def grow(members, birth):
+        """(stability, clusters inside) of a cluster born at lambda `birth`."""
+        stable, now = 0.0, set(members)
+        for h in levels:
+            if len(now) < 2 or not any(reach[i, j] >= h for i in now for j in now if i != j):
+                continue
+            big = [p for p in parts(now, h) if len(p) >= size]
+            at = 1 / h
+            if len(big) >= 2:
+                stable += (at - birth) * len(now)
+                return stable, [(p, at, *grow(p, at)) for p in big]
+            kept = set().union(*big)
+            stable += (at - birth) * len(now - kept)
+            now = kept
+            if not now:
+                break
+        return stable, []
+
+    def choose(cluster):
+        members, birth, stable, inside = cluster
+        picked, total = [], 0.0
+        for c in inside:
+            own, value = choose(c)
+            picked += own
+            total += value
+        return (picked, total) if inside and total > stable else ([cluster], stable)
+
+    _, inside = grow(range(n), 0.0)
+    chosen = [c for top in inside for c in choose(top)[0]]
+    return {frozenset(c[0]) for c in chosen}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hdbscan_against_its_definition(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, s, (int(rng.integers(6, 16)), 2)) for c, s in (((0, 0), 0.5), ((6, 1), 1.0), ((0, 9), 0.3))] + [rng.uniform(-5, 14, (6, 2))])
+    label = kernels.hdbscan(x, 5, 3)
+    assert {frozenset(np.flatnonzero(label == k).tolist()) for k in range(label.max() + 1)} == _plain_hdbscan(x, 5, 3, 0.0)
