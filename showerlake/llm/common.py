@@ -7,6 +7,9 @@ any collision is about n*n / 2**65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +27,7 @@ U64 = np.uint64
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't name them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -76,6 +79,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored(df, shared_dir(df.sparkSession, name))
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its freed memory back at a task's end, as workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -367,7 +383,7 @@ def connect(rows: DataFrame, payload: list[str], find: Callable[[pa.Table, np.nd
 
     def met(dealt: DataFrame) -> DataFrame:
         dealt = dealt.select("group", "side", "rep", *payload)
-        return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a long, b long").distinct()
+        return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(meet), "a long, b long").distinct()
 
     def drawn(n, seed: int):
         return F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
@@ -474,4 +490,4 @@ def shared(piled: DataFrame, parts: int) -> DataFrame:
                 more, who = keyed(joined(heavy, "keys", "<u8"), 401), joined(heavy, "members", "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(group, size)[pick], more]).astype(np.int64)), pa.array(np.concatenate([rep[pick], who]))], ["key", "rep"])
 
-    return piled.repartition(parts, "pile").sortWithinPartitions("pile").mapInArrow(meet, "key long, rep long").distinct()
+    return piled.repartition(parts, "pile").sortWithinPartitions("pile").mapInArrow(tidy(meet), "key long, rep long").distinct()

@@ -27,7 +27,7 @@ PARTITIONS of these its empty segments are indexed as well, so no link is lost.
 Keys seen with one set only are dropped where they meet; a key of many sets never
 meets in one task (`common.shared`). Sets that share a key are compared by size
 and by a parity sketch (the number of differing bits never exceeds the symmetric
-difference), which leaves candidate components; inside these the sets themselves
+difference; sketches grow with the sets), which leaves candidate components; inside these the sets themselves
 are intersected. Large groups are compared with pivots first, and only what
 these leave apart meets the whole group (`common.connect`). Only spanning forests
 leave a task, never the pairs of a group. Equality is that of 64-bit hashes.
@@ -50,9 +50,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import PILE, U64, Piler, components, connect, default_partitions, distinct_by_row, forest, keyed, materialise, mix, prepare, shared, shingles, words_of
+from showerlake.llm.common import PILE, U64, Piler, components, connect, default_partitions, distinct_by_row, forest, keyed, materialise, mix, prepare, shared, shingles, tidy, words_of
 
 SKETCH_BITS, PARTITIONS, BLOCK, SET_BLOCK, MOST_BYTES = 512, 6, 512, 256, 32 << 20
+#: Bytes of text whose sets are handled at once.
+SET_SLICE = 1_000_000
 #: Segments of a size group are measured and allocated in so many classes; signs of a frequency sketch.
 CLASSES, SIGNS = 64, 4
 #: Cost of a pair that shares a key, in keys written; classes of equal sets whose copies the measure weighs down.
@@ -152,7 +154,7 @@ def differ_most(a, b, percent: int):
 
 
 def _sets(column: pa.Array, k: int):
-    for lo, hi, words in words_of(column):
+    for lo, hi, words in words_of(column, SET_SLICE):
         at, values = distinct_by_row(*shingles(words, k), hi - lo)
         yield lo, hi, at, values
 
@@ -162,20 +164,39 @@ def _sum_by_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
+def sketch_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of a set's sketch: a power of two, four times the most that it differs from a linked one, SKETCH_BITS at least."""
+    most = np.maximum(differ_most(n, n * 100 // percent, percent), SKETCH_BITS // 4)
+    return 1 << np.ceil(np.log2(4 * most)).astype(np.int64)
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the bits of the shortest: of a power of two, halves add up by parity."""
+    least, out = min(map(len, sketches)), np.empty((len(sketches), min(map(len, sketches))), np.uint8)
+    for i, raw in enumerate(sketches):
+        own = np.frombuffer(raw, np.uint8)
+        while len(own) > least:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        out[i] = own
+    return out.view("<u8")
+
+
+def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, sid, more, sketch): size, two hashes of the set, and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, at, values in _sets(batch.column(1), k):
-                n, rows = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
+                n = np.diff(at)
                 sid, more = (_sum_by_row(keyed(values, s), at).astype(np.int64) for s in (1, 2))
-                bits = np.bincount(rows * SKETCH_BITS + (keyed(values, 3) >> U64(64 - 9)).astype(np.int64), minlength=(hi - lo) * SKETCH_BITS) & 1
-                raw = np.packbits(bits.astype(np.uint8).reshape(hi - lo, SKETCH_BITS), axis=1)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), hi - lo, [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+                width, place = sketch_bits(n, percent), keyed(values, 3)
+                begin = np.concatenate([[0], np.cumsum(width)])
+                index = np.repeat(begin[:-1], n) + (place & np.repeat(width - 1, n).astype(U64)).astype(np.int64)
+                raw = np.packbits(np.bincount(index, minlength=begin[-1]).astype(np.uint8) & 1)
+                sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((begin // 8).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sid), pa.array(more), sketch], ["doc_id", "n", "sid", "more", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, more long, sketch binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, sid long, more long, sketch binary")
 
 
 class Segments:
@@ -289,7 +310,7 @@ def measured(docs: DataFrame, known: DataFrame, k: int, alloc: Allocation) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(into[used, i]) for i in range(width)]], ["cell", *[f"v{i}" for i in range(width)]])
 
     names = [f"v{i}" for i in range(width)]
-    sums = docs.select("text").mapInArrow(run, "cell long, " + ", ".join(f"{n} double" for n in names)).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names])
+    sums = docs.select("text").mapInArrow(tidy(run), "cell long, " + ", ".join(f"{n} double" for n in names)).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names])
     rows = sums.toPandas()  # a row for each size group and class at most
     table = np.zeros((cells, width))
     table[rows["cell"].to_numpy().astype(np.int64)] = rows[names].to_numpy()
@@ -317,7 +338,7 @@ def indexed(docs: DataFrame, k: int, alloc: Allocation, parts: int) -> DataFrame
                 own = np.concatenate([[0], np.cumsum(np.diff(at)[fresh])])
                 yield piler.deal(*set_keys(own, values[keep], sids[fresh], alloc))
 
-    return docs.select("text").mapInArrow(index, PILE)
+    return docs.select("text").mapInArrow(tidy(index), PILE)
 
 
 def sketch_links(sketch: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
@@ -366,18 +387,17 @@ def components_of(df: DataFrame, *, k: int = 4, percent: int = 85, id_column: st
     prepare(spark)
     parts = default_partitions(spark)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id is not null")
-    known = materialise(profiles(docs, k), "profiles")
+    known = materialise(profiles(docs, k, percent), "profiles")
     classes = known.where("n > 0").groupBy("sid", "n", "more").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     alloc = Allocation(percent, known.agg(F.max("n")).first()[0] or 1)
     alloc.allocate(*measured(docs, known, k, alloc))
 
     def alike(rows: pa.Table, side: np.ndarray) -> list[tuple[int, int]]:
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u8").reshape(rows.num_rows, -1)
-        return forest(sketch_links(sketch, rows["n"].to_numpy(), side, percent))
+        return forest(sketch_links(folded(rows["sketch"].to_pylist()), rows["n"].to_numpy(), side, percent))
 
     met = materialise(shared(indexed(docs, k, alloc, parts), parts).withColumnRenamed("rep", "sid"), "keys")
     met = met.join(classes.select("sid", "n", "rep", "sketch"), "sid").select("key", "rep", "n", "sketch")
-    near = connect(met, ["n", "sketch"], alike, block=BLOCK, name="candidates")
+    near = connect(met, ["n", "sketch"], alike, block=BLOCK, bytes_column="sketch", most_bytes=MOST_BYTES // 8, name="candidates")
     grouped = materialise(components(near), "candidate-components")
 
     # the sets of candidates, each from its representative's text
@@ -395,7 +415,7 @@ def components_of(df: DataFrame, *, k: int = 4, percent: int = 85, id_column: st
     def linked(rows: pa.Table, side: np.ndarray) -> list[tuple[int, int]]:
         return forest(set_links([np.frombuffer(x, "<u8") for x in rows["elements"].to_pylist()], side, percent))
 
-    sets = materialise(docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "component").mapInArrow(gather, "key long, rep long, elements binary"), "sets")
+    sets = materialise(docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "component").mapInArrow(tidy(gather), "key long, rep long, elements binary"), "sets")
     final = components(connect(sets, ["elements"], linked, block=SET_BLOCK, bytes_column="elements", most_bytes=MOST_BYTES, name="links"))
 
     found = classes.select("sid", "n", "more", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")

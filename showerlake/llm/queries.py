@@ -75,15 +75,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _REACHED = "SELECT {id} AS node, {id} AS root FROM {nodes} UNION SELECT e.b, walk.root FROM walk JOIN ends e ON walk.node = e.a"
 
-OP6_SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents),
- shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM words)),
+OP6_SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words)),
  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
  common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
  links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
  ends AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links), walk AS ({_REACHED.format(id="doc_id", nodes="words")})
  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT node AS doc_id, min(root) AS component_id FROM walk GROUP BY 1) LEFT JOIN sizes USING (doc_id)"""
 
-OP10_SQL = f"""WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, v -> v <> 0)) > 0),
+OP10_SQL = f"""WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
  links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
  ends AS (SELECT x AS a, y AS b FROM links), walk AS ({_REACHED.format(id="vec_id", nodes="embeddings")}), numbers AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
  SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT node AS vec_id, min(root) AS component_id FROM walk GROUP BY 1) LEFT JOIN numbers USING (vec_id)"""

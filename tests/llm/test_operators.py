@@ -351,6 +351,23 @@ def test_linked_sets_share_a_key_under_any_allocation(kind, percent):
     assert len(want) > 50 and want <= met
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(11)
+    for n in (40, 700, 5000):
+        for share in (0.9, 0.86, 0.5):
+            one = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            two = np.concatenate([one[: int(n * share)], rng.integers(0, 1 << 62, int(n * 0.1) + 1).astype(np.uint64)])
+            raw = []
+            for own in (one, two):
+                width = int(jaccard.sketch_bits(np.array([len(own)]), 85)[0])
+                raw.append(np.packbits(np.bincount((own & np.uint64(width - 1)).astype(int), minlength=width).astype(np.uint8) & 1).tobytes())
+            differ, sketch = len(set(one.tolist()) ^ set(two.tolist())), jaccard.folded([raw[0], raw[1] + bytes(len(raw[1]))] if len(raw[0]) == len(raw[1]) else raw)
+            found = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())
+            assert found <= differ
+            if share == 0.5:  # and those of sets that aren't alike tell them apart, however large
+                assert found > jaccard.differ_most(len(one), len(two), 85)
+
+
 def test_allocation_leaves_out_dear_segments():
     cost = np.zeros((jaccard.CLASSES, 2))
     cost[:10] = [100, 700]
@@ -366,7 +383,7 @@ def test_measured_pairs(spark):
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join([*words[:20], *(f"x{rng.integers(10**9)}" for _ in range(4))]) for _ in range(120)] + [" ".join(words)] * 300
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known, alloc = jaccard.profiles(docs, 4), jaccard.Allocation(85, 40)
+    known, alloc = jaccard.profiles(docs, 4, 85), jaccard.Allocation(85, 40)
     keys, pairs = jaccard.measured(docs, known, 4, alloc)
     found = {}
     for t in set(texts):
