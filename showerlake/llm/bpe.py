@@ -26,7 +26,7 @@ import regex
 #: Different chunks and pre-tokens that a worker remembers between batches, at about 200 bytes each.
 CACHE_CHUNKS = 1_000_000
 #: Text whose ids are held at once.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = regex.compile(rf" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showerlake.llm.bpe import ByteTable, encode_batches, encoder
-from showerlake.llm.common import prepare
+from showerlake.llm.common import prepare, tidy
 
 
 def _quiet() -> None:
@@ -44,7 +44,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str | None = None, *, id_col
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "spans"][: len(columns)])
 
     schema = "id long, ids array<int>" + (", spans array<struct<start: int, end: int>>" if offsets else "")
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str | None = None, *, id_column: str = "id", ids_column: str = "ids") -> DataFrame:
@@ -58,7 +58,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str | None = None, *, id_col
             raw = [b"".join(table.table[i] for i in ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in raw])], ["id", "bytes", "text"])
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(ids_column).alias("ids")).mapInArrow(run, "id long, bytes binary, text string")
+    return df.select(F.col(id_column).cast("long").alias("id"), F.col(ids_column).alias("ids")).mapInArrow(tidy(run), "id long, bytes binary, text string")
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -78,4 +78,4 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str | None = None, *, id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import components, forest, group_ranges, keyed, materialise, mix, prepare, split_groups, whole_groups
+from showerlake.llm.common import components, forest, group_ranges, keyed, materialise, mix, prepare, split_groups, tidy, whole_groups
 from showerlake.llm.vectors import lengths, matrix, packed, precision, unpacked
 
 STEP, MISS, MATES, BLOCK = 1.5, 0.003, 0.25, 2048
@@ -97,7 +97,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
                     yield pa.RecordBatch.from_arrays([*rest.columns[:2], pa.nulls(rest.num_rows, pa.binary())], ["vec_id", "label", "vector"])
 
     cid = F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("cid")
-    made = rows.mapInArrow(usable, "vec_id long, label long, vector binary").select("vec_id", "label", cid, "vector")
+    made = rows.mapInArrow(tidy(usable), "vec_id long, label long, vector binary").select("vec_id", "label", cid, "vector")
     folded = made.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     folded = materialise(folded, "vectors")
     most = folded.groupBy("label", F.length("vector")).count().agg(F.max("count")).first()[0] or 1
@@ -121,7 +121,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
                 own = np.asarray(batch.column(0))[at]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(np.arange(number, dtype=np.int32), len(own))), pa.array(np.repeat(own, number))], ["key", "tab", "cid"])
 
-    spread = folded.select("cid", "label", "vector").mapInArrow(bucket, "key long, tab int, cid long")
+    spread = folded.select("cid", "label", "vector").mapInArrow(tidy(bucket), "key long, tab int, cid long")
     dealt = split_groups(spread, "key", "cid", BLOCK, "buckets").join(folded, "cid").select("group", "tab", "side", "cid", "label", "rep", "weight", "vector")
 
     def judge(hasher: Hasher, label, weight, side, table, unit):
@@ -159,7 +159,7 @@ def links(df: DataFrame, *, threshold: float = 0.93, id_column: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (classes, number_of, one, two)], ["cid", "n", "a", "b"])
 
     # a stream of whole buckets: memory is that of the largest, which is two blocks
-    met = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "cid long, n long, a long, b long")
+    met = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(meet), "cid long, n long, a long, b long")
     met = materialise(met, "links")
     # ids with vectors of several classes connect these
     member = made.where("cid is not null").select("vec_id", "cid").distinct().join(folded.select("cid", "rep"), "cid")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import mod_crc, prepare, row_slices, text_buffers
+from showerlake.llm.common import mod_crc, prepare, row_slices, text_buffers, tidy
 
 #: Bounds of what is learned from, for each language: documents and characters. Whole documents are taken until they
 #: have SAMPLE_CHARACTERS, and only ones that are shorter than that, unless a language has no such one.
@@ -39,7 +39,7 @@ SAMPLE_DOCS, SAMPLE_CHARACTERS = 400, 60_000
 #: Low bits of a 32-bit hash that are dropped for the counts by which a language's sample is found.
 BUCKET_BITS = 18
 #: Bytes of text that are parsed at once, and characters of a chunk.
-SLICE, CHUNK = 4_000_000, 128
+SLICE, CHUNK = 2_000_000, 128
 #: Texts of LEAST_LETTERS and more that need over WORST phrases a letter are in none of the languages.
 WORST, LEAST_LETTERS = 0.5, 60
 _GAP = re.compile(r"[\W\d_]+")
@@ -83,7 +83,7 @@ class Automaton:
         self.letters, self.width = len(text), len(code) + 1
         key = np.array([s * self.width + c for s, m in enumerate(moves) for c in m], np.int64)
         to = np.array([t for m in moves for t in m.values()], np.int32)
-        bits = max(4, int(4 * len(key)).bit_length())
+        bits = max(4, int(2 * len(key)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
         left, slot = np.arange(len(key)), self._slot(key)
@@ -129,7 +129,7 @@ class Automata:
         out = np.zeros((len(start), len(self.names)), np.int64)
         if not len(start) or not self.names:
             return out
-        known = np.zeros(0x110000, np.int64)
+        known = np.zeros(0x110000, np.int32)
         known[[ord(c) for c in self.code]] = list(self.code.values())
         codes = known[flat]
         order = np.argsort(-length, kind="stable")
@@ -233,7 +233,7 @@ def predict(df: DataFrame, model: Automata, *, id_column: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score), pa.array(least.astype(np.int64)), pa.array(letters.astype(np.int64)), pa.array(bits)], ["doc_id", "lang_pred", "score", "phrases", "letters", "bits"])
 
     schema = "doc_id long, lang_pred string, score double, phrases long, letters long, bits double"
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def keep(df: DataFrame, model: Automata, *, languages: tuple[str, ...] | None = None, worst: float = WORST) -> DataFrame:
@@ -256,7 +256,7 @@ def keep(df: DataFrame, model: Automata, *, languages: tuple[str, ...] | None =
                 fits = (letters < LEAST_LETTERS) | (least <= worst * letters)
                 yield batch.slice(lo, hi - lo).filter(pa.array(np.array([p in wanted for p in pred], bool) & fits))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def identify(df: DataFrame) -> DataFrame:

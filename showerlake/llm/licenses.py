@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import Words, keyed, prepare, row_slices, shingles, text_buffers
+from showerlake.llm.common import Words, keyed, prepare, row_slices, shingles, text_buffers, tidy
 
 BANDS, MATCH, SHINGLE, NOTICE = 20, 0.8, 3, 80
 
@@ -235,4 +235,4 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, *, id_col
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "template", "word_start", "containment"])
 
     schema = "doc_id long, license string, template int, word_start long, containment double"
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), schema)

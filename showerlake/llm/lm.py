@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import U64, Words, keyed, materialise, mod_crc, prepare, words_of
+from showerlake.llm.common import U64, Words, keyed, materialise, mod_crc, prepare, tidy, words_of
 
 WORDS, GROUPS, MOST_OF_GROUP, CLUSTERS, ENDINGS, BESIDE = 2047, 63, 128, 64, 2048, 63
 DIMENSIONS, CONTEXT, NOISE, ROUNDS, RATE, BATCH, MIN_STEPS = 16, 6, 32, 2, 0.15, 1024, 480
@@ -268,7 +268,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, "h long, ending int, c long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
+    return docs.mapInArrow(tidy(run), "h long, ending int, c long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, known: pa.Table, texts: int, alone: float, tails: bool) -> DataFrame:
@@ -305,7 +305,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, known: pa.Table, texts: int
                 row_id += rows
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "rare", "sequence", "tail"])
 
-    return docs.select("doc_id", "text", "learned").mapInArrow(run, "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, rare double, sequence binary, tail array<long>")
+    return docs.select("doc_id", "text", "learned").mapInArrow(tidy(run), "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, rare double, sequence binary, tail array<long>")
 
 
 def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +329,7 @@ def cluster_endings(learned: DataFrame) -> np.ndarray:
         for a in range(0, len(some), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(total[some[a : a + 50_000]])], ["cell", "n"])
 
-    cells = learned.select("sequence").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most ENDINGS * BESIDE
+    cells = learned.select("sequence").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most ENDINGS * BESIDE
     table = np.zeros(ENDINGS * BESIDE)
     table[cells["cell"].to_numpy().astype(np.int64)] = cells["n"].to_numpy()
     table = table.reshape(ENDINGS, BESIDE)
@@ -358,7 +358,7 @@ def averaged(sent: DataFrame, size: int) -> np.ndarray | None:
                 own[1] = own[1] + used * np.frombuffer(values, "<f4").astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(v / w).astype("<f4").tobytes() for w, v in sums.values()], pa.binary())], ["chunk", "mean"])
 
-    found = sent.repartition("chunk").mapInArrow(run, "chunk int, mean binary").toArrow()  # the parameters once
+    found = sent.repartition("chunk").mapInArrow(tidy(run), "chunk int, mean binary").toArrow()  # the parameters once
     if not found.num_rows:
         return None
     parts = dict(zip(found["chunk"].to_pylist(), found["mean"].to_pylist(), strict=True))
@@ -407,7 +407,7 @@ def train(learned: DataFrame, classes: Classes, share: np.ndarray, word_share: n
                 parts = [values[a : a + CHUNK].tobytes() for a in range(0, len(values), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(used)] * len(parts)), pa.array(parts, pa.binary())], ["chunk", "used", "values"])
 
-        sent = learned.select("doc_id", "sequence").mapInArrow(run, "chunk int, used double, values binary")
+        sent = learned.select("doc_id", "sequence").mapInArrow(tidy(run), "chunk int, used double, values binary")
         if (found := averaged(sent, len(model.parameters()))) is not None:
             model.put(found)
     return model
@@ -473,7 +473,7 @@ def score(df: DataFrame, training, *, id_column: str = "doc_id", text_column: st
             scores = (np.add.reduceat(logs, at[:-1]) if len(at) > 1 else np.empty(0)) + np.asarray(batch.column(4))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 2, 3, 6)] + [pa.array(scores)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = coded.select("row", "doc_id", "n_tokens", "n_known", "rare", "sequence", "base").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.select("row", "doc_id", "n_tokens", "n_known", "rare", "sequence", "base").mapInArrow(tidy(run), "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     if tail is not None:
         missing = coded.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
         seen = missing.join(tail.select("h", "c"), "h").groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import keyed, prepare
+from showerlake.llm.common import keyed, prepare, tidy
 from showerlake.llm.hilbert import hilbert_key
 from showerlake.llm.vectors import matrix, packed, precision, unpacked, width
 
@@ -130,7 +130,7 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, curves: int = CURVES,
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(broadcast.value.keys(vectors, ids, c)), pa.array(ids), packed(vectors, kind)], ["curve", "key", "vec_id", "vector"])
 
-    placed = rows.mapInArrow(place, "curve int, key long, vec_id long, vector binary")
+    placed = rows.mapInArrow(tidy(place), "curve int, key long, vec_id long, vector binary")
     edges: dict[int, np.ndarray] = {c: np.empty(0, np.int64) for c in range(curves)}
     rate = min(1.0, KEYS_PER_BLOCK * blocks / total)
     keys = placed.where(F.crc32(F.concat(F.lit("key "), F.col("vec_id").cast("string")).cast("binary")) < int(rate * 2**32)).select("curve", "key").toPandas()
@@ -168,8 +168,8 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, curves: int = CURVES,
                 elif found := nearest(part, own, vectors, ids, k) if len(ids) else []:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    dealt = placed.mapInArrow(deal, "group long, asks boolean, vec_id long, vector binary")
-    found = dealt.repartition("group").sortWithinPartitions("group", "asks").mapInArrow(meet, "query_id long, vec_id long, score double")
+    dealt = placed.mapInArrow(tidy(deal), "group long, asks boolean, vec_id long, vector binary")
+    found = dealt.repartition("group").sortWithinPartitions("group", "asks").mapInArrow(tidy(meet), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showerlake.llm.bpe import encode_batches, encoder
-from showerlake.llm.common import default_partitions, prepare, text_buffers, words_of
+from showerlake.llm.common import default_partitions, prepare, text_buffers, tidy, words_of
 from showerlake.llm.hilbert import hilbert_key
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert long"
@@ -56,7 +56,7 @@ def with_curve_key(df: DataFrame, *, id_column: str = "doc_id", text_column: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(batch.column(1)))], ["doc_id", "text", "hilbert"])
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, hilbert long")
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, hilbert long")
 
 
 def curve_bytes(df: DataFrame, *, text_column: str = "text") -> DataFrame:
@@ -70,7 +70,7 @@ def curve_bytes(df: DataFrame, *, text_column: str = "text") -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].astype(np.int64))], ["cell", "bytes"])
 
-    return df.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes"))
+    return df.select(F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes"))
 
 
 def along_curve(placed: DataFrame, sizes: DataFrame, partitions: int) -> DataFrame:
@@ -157,4 +157,4 @@ def pack(df: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 2048,
         yield flush(True)
 
     placed = with_curve_key(df, id_column=id_column, text_column=text_column)
-    return along_curve(placed, curve_bytes(df, text_column=text_column), partitions or default_partitions(spark)).mapInArrow(run, PIECES)
+    return along_curve(placed, curve_bytes(df, text_column=text_column), partitions or default_partitions(spark)).mapInArrow(tidy(run), PIECES)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from showerlake.llm.bpe import encode_batches, encoder
-from showerlake.llm.common import default_partitions, materialise, prepare
+from showerlake.llm.common import default_partitions, materialise, prepare, tidy
 
 MANIFEST = "part int, path string, rows long, tokens long, first_id long, last_id long"
 #: Documents of a row group, ids at which it ends early, cells of ids by which bytes are balanced, bytes of a range.
@@ -134,7 +134,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, *, end_id: int | None = 2
             yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [path], "rows": [rows], "tokens": [tokens], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64())})
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return materialise(in_id_order(rows, partitions or default_partitions(spark)).mapInArrow(run, MANIFEST), "manifest")
+    return materialise(in_id_order(rows, partitions or default_partitions(spark)).mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
@@ -160,7 +160,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
                         base += int(at[-1] - at[0])
 
     spread = files.select("path", "base", "part").repartition(default_partitions(spark), "part").select("path", "base")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -191,4 +191,4 @@ def read_range(manifest: DataFrame, folder: str, low: int, high: int, columns: t
                         yield from group.filter(inside).select(list(columns)).to_batches()
 
     files = manifest.where((F.col("first_id") <= high) & (F.col("last_id") >= low)).select("path")
-    return files.repartition(default_partitions(spark), "path").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return files.repartition(default_partitions(spark), "path").mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in columns))

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from showerlake.llm.common import materialise, mod_crc, prepare, row_slices, text_buffers
+from showerlake.llm.common import materialise, mod_crc, prepare, row_slices, text_buffers, tidy
 
 #: Bounds of the labelled rows that are learned from, and of their characters.
 SAMPLE, SAMPLE_CHARACTERS = 16_000, 64_000_000
@@ -136,7 +136,7 @@ def grammar(negated: float, reported: float) -> Transducer:
 class Lexicon:
     """A transducer over letters: arcs (state, letter) -> state; a word's end in a state, or a stem's state passed, gives class and weight."""
 
-    MOST_REMEMBERED = 100_000
+    MOST_REMEMBERED = 20_000
 
     def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, float]):
         self.arcs: dict[tuple[int, str], int] = {}
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, character
     """Learns from documents(doc_id, text) and labels(doc_id, toxic); which rows those are is the caller's choice."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = sampled(docs, labels, sample, characters).repartition(max(2, spark.sparkContext.defaultParallelism))
+    rows = sampled(docs, labels, sample, characters).repartition(3 * max(2, spark.sparkContext.defaultParallelism))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -270,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, character
             part = names[k : k + 50_000]
             yield pa.RecordBatch.from_pydict({"feature": part, "toxic": pa.array([toxic[f] for f in part], pa.int64()), "clean": pa.array([clean[f] for f in part], pa.int64())})
 
-    counted = rows.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(tidy(count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.where((F.col("toxic") >= MIN_TEXTS) & (F.col("clean") <= 0.02 * F.col("toxic")))
     candidates = {r.feature: (r.toxic, r.clean) for r in counted.toLocalIterator()}  # of the sample, so bounded by its characters
     holds: dict[str, set[int]] = defaultdict(set)
@@ -307,7 +307,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, character
             only = [next(iter(m)) if len(m) == 1 else "" for m in found]
             yield pa.RecordBatch.from_arrays([pa.array(only), batch.column(2)], ["mark", "toxic"])
 
-    seen = {(r.mark, r.toxic): r.n for r in rows.mapInArrow(marks, "mark string, toxic int").groupBy("mark", "toxic").agg(F.count("*").alias("n")).collect()}
+    seen = {(r.mark, r.toxic): r.n for r in rows.mapInArrow(tidy(marks), "mark string, toxic int").groupBy("mark", "toxic").agg(F.count("*").alias("n")).collect()}
     factor = lambda mark, prior: (seen.get((mark, 1), 0) + 4 * prior) / (seen.get((mark, 1), 0) + seen.get((mark, 0), 0) + 4)
     return Model(words, stems, factor("negated", 0.3), factor("reported", 0.4))
 
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             weights = np.array([w for w, _ in found], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(BIAS - np.minimum(weights, 50)))), pa.array([n for _, n in found], pa.int64())], ["doc_id", "score", "clauses"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, clauses long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double, clauses long")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -338,7 +338,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             weights = [shared.value.match(t)[0] for t in _texts(batch.column(at))]
             yield batch.filter(pa.array([1 / (1 + math.exp(BIAS - min(w, 50))) < threshold for w in weights], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out():
