@@ -37,7 +37,7 @@ from showerlake.llm.common import mod_crc, prepare, row_slices, text_buffers, ti
 #: have SAMPLE_CHARACTERS, and only ones that are shorter than that, unless a language has no such one.
 SAMPLE_DOCS, SAMPLE_CHARACTERS = 400, 60_000
 #: Low bits of a 32-bit hash that are dropped for the counts by which a language's sample is found.
-BUCKET_BITS = 18
+BUCKET_BITS = 22
 #: Bytes of text that are parsed at once, and characters of a chunk.
 SLICE, CHUNK = 2_000_000, 128
 #: Texts of LEAST_LETTERS and more that need over WORST phrases a letter are in none of the languages.
