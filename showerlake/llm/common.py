@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +27,8 @@ U64 = np.uint64
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't name them.
 BATCH_BYTES = 4 << 20
+#: Bytes of a task's input from which it gives its memory back.
+TIDY_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -80,14 +81,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy(run: Callable) -> Callable:
-    """A function for mapInArrow that gives its freed memory back at a task's end, as workers are used again."""
+    """A function for mapInArrow that gives its freed memory back at the end of a task of over TIDY_BYTES, as workers are used again."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
-            ctypes.CDLL(None).malloc_trim(0)
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+
+        yield from run(counted())
+        if seen > TIDY_BYTES:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
 
     return wrapped
 
