@@ -414,16 +414,20 @@ def connect(rows: DataFrame, payload: list[str], find: Callable[[pa.Table, np.nd
     hot = sizes.where("blocks > 1")
     if hot.isEmpty():
         return first
-    part = components(first).select(F.col("node").alias("rep"), "component")
+    found = components(first)
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # connects what `first` does, and needs no further round
+    part = found.select(F.col("node").alias("rep"), "component")
     parted = rows.select("key", "rep").distinct().join(hot, "key").join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     parted = materialise(parted, f"{name}-parts")
     counts = parted.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("top"), (F.sum("c") - F.max("c")).alias("rest"))
-    counts = counts.where("rest > 0")
+    counts = materialise(counts.where("rest > 0"), f"{name}-apart")
+    if counts.isEmpty():
+        return stars
     left = parted.join(counts, "key").withColumn("deals", F.ceil(blocks * F.col("rest") / F.col("n")).cast("int"))
     others = places(0, F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda x: x * blocks + drawn(blocks, 0)))
     outside = places(1, F.when(F.col("part") != F.col("top"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: drawn(F.col("deals"), 2) * blocks + y)).otherwise(none))
     second = left.select("key", "rep", "blocks", F.concat(others, outside).alias("to")).join(rows, ["key", "rep"])
-    return first.union(materialise(met(spread(second, F.col("to"))), f"{name}-rest"))
+    return stars.union(materialise(met(spread(second, F.col("to"))), f"{name}-rest"))
 
 
 # --- keys and the members that share them ---------------------------------------
