@@ -325,12 +325,16 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return wrong.isEmpty()
 
 
+#: Edges of a file that a round of `components` writes, up to the session's number of partitions.
+FILE_EDGES = 1 << 14
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps; each round's edges are written to
     the shared folder, so no lineage grows and no edge reaches the driver, and the
-    round before goes. A node's smallest neighbour comes from a partial aggregate;
+    round before goes; few edges go to few files. A node's smallest neighbour comes from a partial aggregate;
     it is joined under a key of its own (`at`), so that both sides of the join are
     plain exchanges and Spark can split the edges of a hub. Edges with a null end
     are ignored; nodes without a proper edge are their own component.
@@ -351,7 +355,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         linked = large.join(low, F.col("a") == F.col("at"))
         small = linked.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         before, folder = folder, shared_dir(spark, "edges")
-        current = stored(small, folder)
+        files = current.count() // FILE_EDGES + 1  # a round makes at most twice its edges
+        current = stored(small.coalesce(files) if files < default_partitions(spark) else small, folder)
         remove(spark, before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
