@@ -6,17 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stream_merge(stream: DataFrame, *, time: str = "ts", watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+def stream_merge(stream: DataFrame, *, time: str = "ts", watermark: str = "10 minutes", window: str = "1 hour", origin: bool = True) -> DataFrame:
     """Count, energy and energy-weighted x, y, z and t (those that are there) of each (window, shower, cell).
 
-    Rows later than the watermark go; a group without energy is at the origin.
+    Rows later than the watermark go. Rows without a time go from a stream, where no
+    watermark would ever close their window; in a batch they have a window without start.
+    origin: a group without energy is at the origin; otherwise its means are what they
+    come to, 0/0 (NaN), or null where energies or places are unknown.
     """
     w = F.col("e").cast("double")
-    grouped = stream.withWatermark(time, watermark).groupBy(F.window(time, window).alias("w"), "shower_id", "cell_id")
+    at, keys = F.col(time), ["shower_id", "cell_id"]
+    start = F.col("w.start")
+    if not stream.isStreaming:  # window() itself drops nulls
+        at = F.coalesce(at, F.lit("1970-01-01").cast(stream.select(time).schema[0].dataType))
+        keys.append(F.col(time).isNotNull().alias("timed"))
+        start = F.when(F.col("timed"), start)
+    grouped = stream.withWatermark(time, watermark).groupBy(F.window(at, window).alias("w"), *keys)
     places = [c for c in "xyzt" if c in stream.columns]
     out = grouped.agg(F.count("*").alias("n"), F.sum(w).alias("e"), *[F.sum(F.col(c).cast("double") * w).alias(f"s{c}") for c in places])
-    means = [F.when(F.col("e") > 0, F.col(f"s{c}") / F.col("e")).otherwise(0.0).alias(c) for c in places]
-    return out.select(F.col("w.start").alias("window_start"), "shower_id", "cell_id", "n", "e", *means)
+
+    def mean(c: str):
+        if origin:
+            return F.when(F.col("e") > 0, F.col(c) / F.col("e")).otherwise(0.0)
+        return F.when(F.col("e") == 0, F.col(c) * float("nan")).otherwise(F.col(c) / F.col("e"))  # null stays null
+
+    return out.select(start.alias("window_start"), "shower_id", "cell_id", "n", "e", *[mean(f"s{c}").alias(c) for c in places])
 
 
 def compress_batches(stream: DataFrame, algorithm, path: str, *, checkpoint: str, once: bool = False):

@@ -117,6 +117,29 @@ def test_a_stream_is_merged_by_window_and_late_rows_go(spark, tmp_path):
     assert rows[2].n == 1 and set(rows) == {0, 2}
 
 
+def test_the_batch_query_divides_as_its_sql_and_keeps_rows_without_a_time(spark, tmp_path):
+    from showerlake.plans.queries import QUERIES
+
+    five = datetime(2024, 1, 1, 5, 30)
+    rows = [
+        (five, 1, "click", 0.0), (five, 1, "click", -0.0), (five, 2, "click", None), (five, 3, "click", None), (five, 3, "click", -2.5),
+        (None, 1, "view", 2.0), (None, 1, "view", 3.0), (None, 2, "view", 0.0), (None, None, None, None), (datetime(1970, 1, 1), 1, "view", 1.0),
+    ]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["stream_merge_batch"](spark, str(tmp_path)).select("window_start", "shower_id", "cell_id", "n", "e", "x", "y", "t").collect()
+    hour = datetime(2024, 1, 1, 5)
+    expected = {
+        (hour, 1, 1, 2, 0.0, "nan", "nan", "nan"), (hour, 2, 1, 1, None, None, None, None), (hour, 3, 1, 2, 2.5, 5.0, 30.0, 1.0),
+        (None, 1, 2, 2, 5.0, None, None, None), (None, 2, 2, 1, 0.0, None, None, None), (None, None, 0, 1, None, None, None, None),
+        (datetime(1970, 1, 1), 1, 2, 1, 1.0, 0.0, 0.0, 1.0),
+    }
+    assert len(found) == 7 and {tuple("nan" if isinstance(v, float) and np.isnan(v) else v for v in r) for r in found} == expected
+    deposits = spark.createDataFrame(_rows(5, 10, e=0.0), SCHEMA)
+    first = stream_merge(deposits).first()
+    assert (first.n, first.e, first.x, first.z, first.t) == (2, 0.0, 0.0, 0.0, 0.0)  # by itself the merge has the origin
+
+
 def test_batches_of_whole_showers_survive_a_restart(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     _drop_in(spark, source, "a", _rows(1, 2, 3))
